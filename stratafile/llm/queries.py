@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.core_queries import sql_code, sql_micros, table
-from . import frequency, history, representative
+from . import frequency, history, leaks, representative, tokens
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,11 +40,27 @@ def p4_after_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.marked()
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p7_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that leaked."""
+    return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_after_intake": p4_after_intake,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_clean_texts": p7_clean_texts,
 }
 
 
