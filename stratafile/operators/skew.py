@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +91,61 @@ def heavy_keys(df: DataFrame, keys: list[str], order: list[str], percent: int =
     counts = balanced_aggregate(df, keys, order)
     total = df.agg(F.count(F.lit(1)).alias("total"))
     return counts.where(F.col("n") * 100 >= total.scalar() * percent)
+
+
+def _number_rows(keys: list[str]):
+    """Adds to sorted rows their place in the partition and their rank within the key, both from where the partition starts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rank, last = 0, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own = pa.Table.from_batches([batch.select(keys)])
+            seen = pa.concat_tables([last, own]) if last is not None else own
+            new = np.zeros(seen.num_rows - 1, bool)
+            for c in seen.columns:
+                c = c.combine_chunks()
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+                new |= differ | pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+            if last is None:
+                new = np.concatenate([[True], new])
+            where = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, where, -1))
+            ranks = np.where(start >= 0, where - start, where + rank) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(where + at), pa.array(ranks)], names=[*batch.schema.names, "_at", "_rank"])
+            at, rank, last = at + n, int(ranks[-1]), own.slice(n - 1)
+
+    return run
+
+
+def balanced_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Adds each row's number within its key (from 1) in a total order, with even tasks however the keys are skewed.
+
+    As balanced_aggregate, rows are range partitioned on keys and order, so that a heavy key lies in several partitions in turn; rows are
+    numbered within their partition, and a partition that goes on with a key adds what the partitions before hold of it: one offset
+    a partition, computed from its first and last key. order must be total within a key. NULL is a key like others.
+    """
+    by = [*(F.col(k) for k in keys), *order]
+    ranged = (df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)).sortWithinPartitions(*by)
+    ranged = ranged.withColumn("_part", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_rank", T.LongType())])
+    local = settled(ranged.mapInArrow(_number_rows(keys), schema))
+    ends = local.groupBy("_part").agg(
+        F.min_by(F.struct(*keys), "_at").alias("head"), F.max_by(F.struct(*keys, "_rank"), "_at").alias("tail"), F.max("_at").alias("rows")
+    )
+    # what a partition leaves of its last key, and where the next ones take up the same key as their first
+    tails = ends.select("_part", *(F.col(f"tail.{k}").alias(k) for k in keys), F.col("tail._rank").alias("n"))
+    heads = ends.select("_part", *(F.col(f"head.{k}").alias(k) for k in keys), F.lit(0).cast("long").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rangeBetween(Window.unboundedPreceding, -1)
+    carried = heads.withColumn("first", F.lit(True)).unionByName(tails.withColumn("first", F.lit(False))).withColumn("_offset", F.sum("n").over(earlier))
+    offsets = carried.where(F.col("first") & F.col("_offset").isNotNull()).select("_part", F.struct(*keys).alias("_head"), "_offset")
+    mine = F.lit(True)
+    for k in keys:
+        mine = mine & F.col(k).eqNullSafe(F.col(f"_head.{k}"))
+    # at most one offset a partition
+    joined = local.join(F.broadcast(offsets), "_part", "left")
+    rank = F.col("_rank") + F.when(F.col("_offset").isNotNull() & mine, F.col("_offset")).otherwise(0)
+    return joined.select(*df.columns, rank.alias(name))
