@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import arrow_map
 from .text import as_column
 
 try:
@@ -117,4 +118,4 @@ def hash_files(candidates: DataFrame, digests: set[str], sample: int = 262_144,
     spark = candidates.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = candidates.select("file_id", "path_abs").repartition(tasks, F.xxhash64("file_id"))
-    return dealt.mapInArrow(_hash_batches(frozenset(digests), sample, chunk), OUTCOME)
+    return arrow_map(dealt, _hash_batches(frozenset(digests), sample, chunk), OUTCOME)

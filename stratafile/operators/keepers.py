@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant_micros
 from ..functions.paths import prefix_filter
+from ..session import arrow_map
 from . import groups
 from .common import lookup_join
 from .skew import balanced_rank
@@ -84,4 +85,4 @@ def execute_plan(plan: DataFrame, dry_run: bool = True) -> DataFrame:
 
     kept = plan.where(F.col("role") == "keep").select("path_abs")
     gone = plan.where(F.col("role") == "remove").join(kept, "path_abs", "left_anti").select("file_id", "path_abs")
-    return gone.mapInArrow(run, "file_id long, outcome string")
+    return arrow_map(gone, run, "file_id long, outcome string")

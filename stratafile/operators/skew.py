@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import settled
+from ..session import arrow_map, settled
 
 #: How a state is made from rows and from other states, by the end of its name.
 _ROWS = {"sum": "sum", "min": "min", "max": "max"}
@@ -77,7 +77,7 @@ def balanced_aggregate(df: DataFrame, keys: list[str], order: list[str], measure
     by = [*keys, *(c for c in order if c not in keys)]
     ranged = long.repartitionByRange(partitions, *by) if partitions else long.repartitionByRange(*by)
     # the order within a key has done its part; partitions only need their keys together
-    states = ranged.select(*dict.fromkeys([*keys, *measures])).sortWithinPartitions(*keys).mapInArrow(_partial_states(keys, measures, names), schema)
+    states = arrow_map(ranged.select(*dict.fromkeys([*keys, *measures])).sortWithinPartitions(*keys), _partial_states(keys, measures, names), schema)
     # both parts must see the same partitions: a second run of the range exchange could cut elsewhere
     states = settled(states)
     whole = states.where(~F.col("edge")).drop("edge")
@@ -132,7 +132,7 @@ def balanced_rank(df: DataFrame, keys: list[str], order: list[Column], name: str
     ranged = (df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)).sortWithinPartitions(*by)
     ranged = ranged.withColumn("_part", F.spark_partition_id())
     schema = T.StructType([*ranged.schema.fields, T.StructField("_at", T.LongType()), T.StructField("_rank", T.LongType())])
-    local = settled(ranged.mapInArrow(_number_rows(keys), schema))
+    local = settled(arrow_map(ranged, _number_rows(keys), schema))
     ends = local.groupBy("_part").agg(
         F.min_by(F.struct(*keys), "_at").alias("head"), F.max_by(F.struct(*keys, "_rank"), "_at").alias("tail"), F.max("_at").alias("rows")
     )

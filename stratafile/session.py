@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, for tests and the bench."""
@@ -49,3 +55,26 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, so that later plans start from there and no lost executor repeats the work."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors, once an application, so that their Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, file.relative_to(home.parent))
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'code')}/{home.name}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(path.toString())
+    _shipped.add(sc.applicationId)
+
+
+def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """mapInArrow with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
