@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import take
-from ..session import settled
+from ..session import arrow_map, settled, ship
 
 #: Words that must agree in a row.
 WORDS = 13
@@ -121,11 +121,12 @@ def _by_shuffle(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """The same pairs where the items are too many to broadcast: windows meet n-grams by their hash, then each pair's texts are compared."""
     texts = settled(texts.withColumn("row", F.monotonically_increasing_id()))
     items = settled(items.withColumn("row", F.monotonically_increasing_id()))
-    grams = items.mapInArrow(_windows(n), "h long, row long").withColumnRenamed("row", "item_row")
-    windows = texts.mapInArrow(_windows(n), "h long, row long")
+    grams = arrow_map(items, _windows(n), "h long, row long").withColumnRenamed("row", "item_row")
+    windows = arrow_map(texts, _windows(n), "h long, row long")
     pairs = windows.join(grams, "h").select("row", "item_row").distinct()
     asked = items.select(F.col("row").alias("item_row"), "item_id", F.col("text").alias("item_text"))
-    return pairs.join(texts, "row").join(asked, "item_row").select("doc_id", "item_id", "item_text", "text").mapInArrow(_verify(n), "doc_id long, item_id long").distinct()
+    both = pairs.join(texts, "row").join(asked, "item_row").select("doc_id", "item_id", "item_text", "text")
+    return arrow_map(both, _verify(n), "doc_id long, item_id long").distinct()
 
 
 def leaked_items(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
@@ -142,8 +143,9 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, words: int = WORDS,
     texts = take(documents, "doc_id", "text").where(F.length("text") > 2 * words - 2)
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
         return _by_shuffle(texts, items, words)
+    ship(texts.sparkSession)
     grams = texts.sparkSession.sparkContext.broadcast(Grams([tuple(r) for r in items.collect()], words))
-    return texts.mapInArrow(_pairs(grams), "doc_id long, item_id long").distinct()
+    return arrow_map(texts, _pairs(grams), "doc_id long, item_id long").distinct()
 
 
 def _cut(text: str, grams: Grams) -> str:
@@ -177,5 +179,6 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, words: int = WORDS
     items = take(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
     if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
         raise ValueError("the items are too long to broadcast; drop the documents that leaked_items finds")
+    ship(documents.sparkSession)
     grams = documents.sparkSession.sparkContext.broadcast(Grams([tuple(r) for r in items.collect()], words))
-    return take(documents, "doc_id", "text").mapInArrow(_cleaned(grams), "doc_id long, text string")
+    return arrow_map(take(documents, "doc_id", "text"), _cleaned(grams), "doc_id long, text string")

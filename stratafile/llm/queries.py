@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.core_queries import sql_code, sql_micros, table
-from . import frequency, history, leaks, representative, tokens
+from . import frequency, history, leaks, representative, tokens, truncation
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,15 @@ def p7_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation.truncation_by_source(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -61,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_clean_texts": p7_clean_texts,
+    "p8_found": p8_found,
+    "p8_by_source": p8_by_source,
 }
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import lookup_join, take
-from ..session import settled
+from ..session import arrow_map, settled
 
 #: The folder of the tokenizers' files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
@@ -208,8 +208,8 @@ def encode_corpus(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
     tokenizer: a byte-level BPE file of the folder, by name.
     """
     rows = take(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    chunks = settled(rows.select("row", "doc_id", "text").mapInArrow(_split, "row long, doc_id long, seq int, key binary, chunk string"))
+    chunks = settled(arrow_map(rows.select("row", "doc_id", "text"), _split, "row long, doc_id long, seq int, key binary, chunk string"))
     distinct = chunks.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("chunk").alias("chunk"))
-    codes = settled(distinct.mapInArrow(_encode(tokenizer, folder), "key binary, ids array<int>, ends array<int>, upto array<int>"))
+    codes = settled(arrow_map(distinct, _encode(tokenizer, folder), "key binary, ids array<int>, ends array<int>, upto array<int>"))
     pieces = lookup_join(chunks, codes, ["key"], "left").select("row", "doc_id", "seq", "chunk", "ids", "ends", "upto")
-    return pieces.repartition("row").sortWithinPartitions("row", "seq").mapInArrow(_assemble(tokenizer, folder), "doc_id long, ids array<int>")
+    return arrow_map(pieces.repartition("row").sortWithinPartitions("row", "seq"), _assemble(tokenizer, folder), "doc_id long, ids array<int>")
