@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import arrow_map
 from .text import as_column
@@ -48,11 +50,11 @@ def quick_digest(size: int, head: bytes, tail: bytes) -> str:
     return xxhash.xxh64(str(size).encode() + head + tail).hexdigest()
 
 
-@F.pandas_udf("string")
-def quick_hash_of(content: "pd.Series", sample: "pd.Series") -> "pd.Series":  # noqa: F821
+@F.pandas_udf(T.StringType())
+def quick_hash_of(content: pd.Series, sample: pd.Series) -> pd.Series:
     """Quick hash of binary contents, equal to that of the same bytes on disk. Arrow batches."""
     out = [None if c is None else quick_digest(len(c), c[:n], c[-n:] if len(c) > n else b"") for c, n in zip(content, sample)]
-    return content.__class__(out, dtype="object")
+    return pd.Series(out, dtype="object")
 
 
 def blake3_available() -> bool:

@@ -108,12 +108,13 @@ def metadata_wasted(groups: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("size_bytes") * (F.col("cnt") - 1)), F.lit(0)).alias("wasted_bytes"))
 
 
-def duplicate_report(files: DataFrame, limit: int = 100, compatible: bool = False) -> DataFrame:
+def duplicate_report(files: DataFrame, limit: int = 100, include: Sequence[str] = (), exclude: Sequence[str] = (), compatible: bool = False) -> DataFrame:
     """The `limit` groups of equal sha256 that waste most, one row a member: rank, sha256, cnt, size_bytes, total_wasted, file_id, path_abs, mtime_utc.
 
     Ranked by size times (count - 1), ties by sha256. Members are the active files of the group; compatible: all of its
     files, so that there can be more of them than cnt. At most `limit` groups are broadcast to the files.
     """
+    files = files.where(prefix_filter("path_abs", include, exclude))
     rows = active(files).where(F.col("sha256").isNotNull())
     g = rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("cnt"), F.min("size_bytes").alias("size_bytes")).where(F.col("cnt") > 1)
     g = g.withColumn("total_wasted", F.col("size_bytes") * (F.col("cnt") - 1)).orderBy(F.desc("total_wasted"), "sha256").limit(limit)

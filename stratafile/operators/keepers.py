@@ -40,13 +40,12 @@ def prune_plan(files: DataFrame, strategy: str = "oldest", include: Sequence[str
 
 
 def prune_stats(plan: DataFrame) -> DataFrame:
-    """One row over a plan: groups, groups that lose files, files in them, files to remove and their bytes."""
+    """One row over a plan: its groups, the groups that lose files, the files to remove, and their bytes."""
     gone = F.col("role") == "remove"
     return plan.agg(
         F.count_if(~gone).alias("hash_groups"),
         F.count_if(F.col("rank") == 2).alias("groups_modified"),
-        F.count(F.lit(1)).alias("files_considered"),
-        F.count_if(gone).alias("files_to_remove"),
+        F.count_if(gone).alias("files_considered"),
         F.coalesce(F.sum(F.when(gone, F.col("size_bytes"))), F.lit(0)).alias("potential_bytes"),
     )
 
