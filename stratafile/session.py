@@ -46,15 +46,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stratafile/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/stratafile/{kind}-{uuid.uuid4().hex}"
+    """A new path of this application below the shared folder."""
+    return f"{_home(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, so that later plans start from there and no lost executor repeats the work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written as a table to the shared folder and read from there, so that later plans start from it and no lost executor repeats the work."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; only when none of its results are needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _shipped.discard(spark.sparkContext.applicationId)
 
 
 def ship(spark: SparkSession) -> None:
