@@ -62,13 +62,14 @@ def load(name: str, folder: str = TOKENIZERS):
 
 
 def encode_parts(t, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: its ids, the ends of its pretokens in characters, and the number of ids up to each end."""
+    """Of each text: its ids, the length of each pretoken in characters, and the number of its ids."""
     out = []
-    for text, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
-        ends = np.array([end for _, (_, end) in t.pre_tokenizer.pre_tokenize_str(text)], np.int32)
-        words = np.array(e.word_ids, np.int64)
-        upto = np.searchsorted(words, np.arange(len(ends)), "right").astype(np.int32)
-        out.append((np.array(e.ids, np.int32), ends, upto))
+    for e in t.encode_batch(texts, add_special_tokens=False):
+        words = np.array(e.word_ids, np.int32)
+        # a pretoken ends where the number of the next one starts
+        last = np.append(np.flatnonzero(words[1:] != words[:-1]), len(words) - 1) if len(words) else np.zeros(0, np.int64)
+        ends = np.array(e.offsets, np.int32).reshape(-1, 2)[last, 1]
+        out.append((np.array(e.ids, np.int32), np.diff(ends, prepend=0), np.diff(last, prepend=-1).astype(np.int32)))
     return out
 
 
@@ -107,13 +108,13 @@ def _encode(name: str, folder: str):
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 done = encode_parts(t, part.column("chunk").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("key"), *(_lists([d[k] for d in done]) for k in range(3))], names=["key", "ids", "ends", "upto"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(_lists([d[k] for d in done]) for k in range(3))], names=["key", "ids", "chars", "counts"])
 
     return run
 
 
 def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Ids of a whole text from its chunks in order, each with its own ids, pretoken ends and counts.
+    """Ids of a whole text from its chunks in order, each with its own ids, and its pretokens' lengths and numbers of ids.
 
     A chunk's pretokens hold in the whole text up to the last end that AHEAD characters follow. From there the
     join is encoded anew over a window that grows into the next chunk, until one of the window's settled
@@ -123,7 +124,8 @@ def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]])
     out: list[np.ndarray] = []
     k, begin = 0, 0  # the chunk, and the end (in characters) from which its own pretokens hold
     while k < len(pieces):
-        text, ids, ends, upto = pieces[k]
+        text, ids, chars, counts = pieces[k]
+        ends, upto = np.cumsum(chars), np.cumsum(counts)
         first = 0 if begin == 0 else int(upto[np.searchsorted(ends, begin)])
         if k == len(pieces) - 1:
             out.append(ids[first:])
@@ -136,15 +138,15 @@ def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]])
         while not agreed:
             k += 1
             following, _, theirs, _ = pieces[k]
-            bounds, reach = {0, *theirs.tolist()}, 32
+            bounds, reach = {0, *np.cumsum(theirs).tolist()}, 32
             while True:
                 window = tail + following[:reach]
                 whole = k == len(pieces) - 1 and reach >= len(following)
-                (w_ids, w_ends, w_upto) = encode_parts(t, [window])[0]
+                w_ids, w_chars, w_counts = encode_parts(t, [window])[0]
                 if whole:
                     out.append(w_ids)
                     return np.concatenate(out)
-                for e, u in zip(w_ends.tolist(), w_upto.tolist()):
+                for e, u in zip(np.cumsum(w_chars).tolist(), np.cumsum(w_counts).tolist()):
                     if e >= len(tail) and e + AHEAD <= len(window) and e - len(tail) in bounds:
                         out.append(w_ids[:u])
                         begin, agreed = e - len(tail), True
@@ -175,7 +177,7 @@ def _assemble(name: str, folder: str):
         for batch in batches:
             rows, own, chunks = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("chunk").to_pylist()
             parts = []
-            for c in ("ids", "ends", "upto"):
+            for c in ("ids", "chars", "counts"):
                 column = batch.column(c)
                 parts.append((column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)))
             for i, r in enumerate(rows):
@@ -210,6 +212,6 @@ def encode_corpus(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
     rows = take(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     chunks = settled(arrow_map(rows.select("row", "doc_id", "text"), _split, "row long, doc_id long, seq int, key binary, chunk string"))
     distinct = chunks.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("chunk").alias("chunk"))
-    codes = settled(arrow_map(distinct, _encode(tokenizer, folder), "key binary, ids array<int>, ends array<int>, upto array<int>"))
-    pieces = lookup_join(chunks, codes, ["key"], "left").select("row", "doc_id", "seq", "chunk", "ids", "ends", "upto")
+    codes = settled(arrow_map(distinct, _encode(tokenizer, folder), "key binary, ids array<int>, chars array<int>, counts array<int>"))
+    pieces = lookup_join(chunks, codes, ["key"], "left").select("row", "doc_id", "seq", "chunk", "ids", "chars", "counts")
     return arrow_map(pieces.repartition("row").sortWithinPartitions("row", "seq"), _assemble(tokenizer, folder), "doc_id long, ids array<int>")
