@@ -45,8 +45,9 @@ def _without_sha(files: DataFrame, scope: Scope) -> DataFrame:
 def sha_candidates(files: DataFrame, scope: Scope, network_friendly: bool = False) -> DataFrame:
     """Active files without sha256 in a group of size and extension, whose quick hash occurs more than once among all files (inactive ones too); unless network_friendly also those under the small-file limit without a quick hash."""
     rows = _without_sha(files, scope)
-    twice = groups.repeated(files, "quick_hash").select("quick_hash", F.lit(True).alias("_twice"))
-    flagged = rows.join(twice, "quick_hash", "left")
+    twice = groups.repeated(files, "quick_hash").select(F.col("quick_hash").alias("_key"), F.lit(True).alias("_twice"))
+    # rows without a quick hash match nothing; a key of their own keeps them from meeting in one partition
+    flagged = rows.withColumn("_key", F.coalesce("quick_hash", F.concat(F.lit("?"), F.col("file_id")))).join(twice, "_key", "left")
     keep = F.col("_twice").isNotNull()
     if not network_friendly:
         keep = keep | ((F.col("size_bytes") < scope.small) & F.col("quick_hash").isNull() & (F.col("size_bytes") >= scope.min_size))
