@@ -13,23 +13,31 @@ from ..session import shared_path
 ALL = "*"
 
 
-def _terms(field: str, value: Column, many: bool) -> Column:
-    """Array of (field, val, occ): each distinct term of a value, with how often it occurs in it."""
-    if not many:
-        one = F.struct(F.lit(field).alias("field"), value.alias("val"), F.lit(1).cast("long").alias("occ"))
-        return F.when(value != "", F.array(one)).otherwise(F.array().cast("array<struct<field:string,val:string,occ:bigint>>"))
-    words = F.array_sort(F.regexp_extract_all(F.lower(value), F.lit("[a-z0-9_]+"), 0))
-    # sorted, a term's occurrences lie together: where one starts and the next starts gives their number
-    starts = F.filter(
-        F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, i - 1) != w), i)), lambda i: i.isNotNull()
-    )
+_TERM = "array<struct<field:string,val:string,occ:bigint>>"
+
+
+def _one(field: str, value: Column) -> Column:
+    """Array of (field, val, occ) of a value that is a term itself; empty for NULL and for nothing."""
+    term = F.struct(F.lit(field).alias("field"), value.alias("val"), F.lit(1).cast("long").alias("occ"))
+    return F.when(value != "", F.array(term)).otherwise(F.array().cast(_TERM))
+
+
+def _with_terms(rows: DataFrame, field: str) -> DataFrame:
+    """Replaces a text of terms by the array of (field, val, occ) of its distinct terms.
+
+    Sorted, a term's occurrences lie together: where one starts and the next starts gives their number. Each step is a column of its own, so a
+    text of very many terms is split once.
+    """
+    rows = rows.withColumn("_words", F.array_sort(F.regexp_extract_all(F.lower(field), F.lit("[a-z0-9_]+"), 0)))
+    first = F.transform("_words", lambda w, i: F.when((i == 0) | (F.get("_words", i - 1) != w), i))
+    rows = rows.withColumn("_starts", F.filter(first, lambda i: i.isNotNull()))
     terms = F.transform(
-        starts,
+        "_starts",
         lambda i, k: F.struct(
-            F.lit(field).alias("field"), F.get(words, i).alias("val"), (F.coalesce(F.get(starts, k + 1), F.size(words)) - i).cast("long").alias("occ")
+            F.lit(field).alias("field"), F.get("_words", i).alias("val"), (F.coalesce(F.get("_starts", k + 1), F.size("_words")) - i).cast("long").alias("occ")
         ),
     )
-    return F.coalesce(terms, F.array().cast("array<struct<field:string,val:string,occ:bigint>>"))
+    return rows.withColumn(field, F.coalesce(terms, F.array().cast(_TERM))).drop("_words", "_starts")
 
 
 def term_deltas(added: DataFrame | None, removed: DataFrame | None, values: list[str], term_lists: list[str]) -> DataFrame:
@@ -46,8 +54,10 @@ def term_deltas(added: DataFrame | None, removed: DataFrame | None, values: list
     signed = [take(df, *fields).withColumn("_sign", F.lit(s).cast("long")) for df, s in ((added, 1), (removed, -1)) if df is not None]
     rows = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
     raw = rows.groupBy(*fields).agg(F.sum("_sign").alias("_sign")).where(F.col("_sign") != 0)
+    for f in term_lists:
+        raw = _with_terms(raw, f)
     own = F.array(F.struct(F.lit(ALL).alias("field"), F.lit("").alias("val"), F.lit(1).cast("long").alias("occ")))
-    parts = [own, *(_terms(f, code(f), False) for f in values), *(_terms(f, F.col(f), True) for f in term_lists)]
+    parts = [own, *(_one(f, code(f)) for f in values), *(F.col(f) for f in term_lists)]
     terms = raw.select("_sign", F.explode(F.concat(*parts)).alias("t"))
     out = terms.groupBy("t.field", "t.val").agg(F.sum(F.col("t.occ") * F.col("_sign")).alias("occ"), F.sum("_sign").alias("recs"))
     return out.where((F.col("occ") != 0) | (F.col("recs") != 0))
