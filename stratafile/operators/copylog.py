@@ -10,7 +10,9 @@ from ..functions.paths import like, quoted, relative_to
 from ..functions.text import trimmed
 from . import groups
 
+# The log's counters in the order of its columns, after the total; the copy command's options.
 COUNTERS = ["copied", "skipped", "mismatch", "failed", "extras"]
+OPTIONS = "/MT:{threads} /R:2 /W:5 /NFL /NDL /NP /BYTES /TEE /LOG+:{log}"
 
 
 def _after_colon(line: Column) -> Column:
@@ -91,7 +93,7 @@ def script_lines(files: DataFrame, prefix: str, target: str, log: str = "copy.lo
     m = manifest(files, prefix)
     rest = F.substring("dir", len(prefix) + 1, 2**31 - 1)
     dest = F.when(rest == "", F.lit(target)).otherwise(F.concat(F.lit(target + "\\"), rest))
-    options = F.lit(f" /MT:{threads} /R:2 /W:5 /NFL /NDL /NP /BYTES /TEE /LOG+:{log}")
+    options = F.lit(" " + OPTIONS.format(threads=threads, log=log))
     line = F.concat(F.lit('robocopy "'), quoted("dir"), F.lit('" "'), quoted(dest), F.lit('" "'), quoted("name"), F.lit('"'), options)
     return m.select("dir", "name", relative_to("dir", prefix).alias("display"), line.alias("line"))
 

@@ -24,12 +24,12 @@ def prune_plan(files: DataFrame, strategy: str = "oldest", include: Sequence[str
     """Of each sha256 that several active files share: sha256, file_id, path_abs, size_bytes, rank and role (keep or remove).
 
     Rank 1 is kept: the oldest or newest by mtime, ties by lower-case path, then id. A path that was scanned several times
-    counts once, by its latest row, so nothing is planned that would remove a keeper's own path. Ranks are numbered by
+    counts once, by its latest row, so nothing is planned that would remove a keeper's own path; rows without a path have no part. Ranks are numbered by
     balanced_rank: a digest that a third of all files share is spread like any other rows.
     """
     if strategy not in ("oldest", "newest"):
         raise ValueError(f"strategy must be oldest or newest, not {strategy}")
-    rows = groups.active(groups.latest_per_path(files)).where(F.col("sha256").isNotNull() & prefix_filter("path_abs", include, exclude))
+    rows = groups.active(groups.latest_per_path(files)).where(F.col("sha256").isNotNull() & F.col("path_abs").isNotNull() & prefix_filter("path_abs", include, exclude))
     rows = rows.select("sha256", "file_id", "path_abs", "size_bytes", mtime_micros().alias("_mtime"), F.lower("path_abs").alias("_path"))
     shared = groups.repeated(rows, "sha256").select("sha256", F.lit(True).alias("_shared"))
     rows = lookup_join(rows, shared, ["sha256"]).drop("_shared")

@@ -187,7 +187,7 @@ def duplicate_report_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _plan_sql(order: str) -> str:
     return f"""WITH {_LATEST},
 p AS (SELECT *, count(*) OVER (PARTITION BY sha256) AS cnt, row_number() OVER (PARTITION BY sha256 ORDER BY {_MTIME} {order}, lower(path_abs), file_id) AS rk
-  FROM l WHERE sha256 IS NOT NULL AND {_ACTIVE})
+  FROM l WHERE sha256 IS NOT NULL AND path_abs IS NOT NULL AND {_ACTIVE})
 SELECT sha256, file_id, path_abs, size_bytes, rk AS rank, CASE WHEN rk = 1 THEN 'keep' ELSE 'remove' END AS role FROM p WHERE cnt > 1"""
 
 
