@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import prefix_filter
@@ -19,13 +19,19 @@ def ext_or_empty(c: str = "ext") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def first_members(rows: DataFrame, keys: list[str], order: list[Column], most: int = 3) -> DataFrame:
+    """The first `most` members of each group, with their place. The window's limit is applied before the shuffle, so a group of any size sends few rows."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
+
+
 def latest_per_path(files: DataFrame) -> DataFrame:
     """One row a path: that of the highest scan run, in it of the highest id. A path that was scanned twice is no duplicate of itself.
 
     Rows without a path are kept, as none of them repeats another.
     """
-    keys = files.where(F.col("path_abs").isNotNull()).groupBy("path_abs").agg(F.max_by("file_id", F.struct("scan_run_id", "file_id")).alias("file_id"))
-    return files.where(F.col("path_abs").isNull()).unionByName(files.where(F.col("path_abs").isNotNull()).join(keys.select("file_id"), "file_id", "left_semi"))
+    latest = first_members(files.where(F.col("path_abs").isNotNull()), ["path_abs"], [F.desc_nulls_last("scan_run_id"), F.desc_nulls_last("file_id")], 1)
+    return files.where(F.col("path_abs").isNull()).unionByName(latest.drop("place"))
 
 
 def size_ext_groups(files: DataFrame, min_size: int, min_count: int) -> DataFrame:

@@ -238,6 +238,18 @@ def metadata_rows_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.metadata_rows(_files(spark, sf_dir), SCOPE.min_size, SCOPE.min_count, INCLUDE, EXCLUDE, compatible=True).select("file_id")
 
 
+@query(f"""WITH g AS ({_meta_sql()}), m AS (
+  SELECT size_bytes, lower(name) AS name_key, coalesce(ext, '') AS ext_key, file_id,
+    row_number() OVER (PARTITION BY size_bytes, lower(name), coalesce(ext, '') ORDER BY path_abs, file_id) AS place
+  FROM files WHERE {_ACTIVE} AND size_bytes >= 262144 AND (size_bytes, lower(name), coalesce(ext, '')) IN (SELECT (size_bytes, name_key, ext_key) FROM g))
+SELECT * FROM m WHERE place <= 3""")
+def metadata_first_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three members of each metadata group, as its listing shows."""
+    rows = groups.metadata_rows(_files(spark, sf_dir), SCOPE.min_size, SCOPE.min_count)
+    rows = rows.select("size_bytes", F.lower("name").alias("name_key"), groups.ext_or_empty().alias("ext_key"), "file_id", "path_abs")
+    return groups.first_members(rows, ["size_bytes", "name_key", "ext_key"], [F.asc("path_abs"), F.asc("file_id")]).drop("path_abs")
+
+
 @query(f"SELECT CAST(coalesce(sum(size_bytes * (cnt - 1)), 0) AS BIGINT) AS wasted_bytes FROM ({_meta_sql()}) g")
 def metadata_wasted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.metadata_wasted(groups.metadata_groups(_files(spark, sf_dir), SCOPE.min_size, SCOPE.min_count))

@@ -1,14 +1,17 @@
 import os
+import sqlite3
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from stratafile import cli
+from stratafile.functions import digests
 from stratafile.operators import cascade, explorer, groups, keepers, status, transitions
 from stratafile.operators.cascade import Scope
 from stratafile.schema import FILES, CatalogConfig, DedupeConfig, load_config, migrated
 from stratafile.sources.catalog import Catalog, export_parquet
+from stratafile.sources.sqlite import import_sqlite, read_sqlite
 from stratafile.sources.tree import scan_tree
 
 
@@ -123,6 +126,30 @@ def test_older_layouts(spark):
     assert new.columns == [*FILES.names, "extra"] and new.first().file_id == 1 and new.first().h1 is None
 
 
+def test_sqlite(spark, tmp_path):
+    path = str(tmp_path / "c.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE scans(scan_run_id INTEGER PRIMARY KEY, started_at TEXT, root_path TEXT, host TEXT, user TEXT)")
+        con.execute("CREATE TABLE files(file_id INTEGER PRIMARY KEY, path_abs TEXT, size_bytes INTEGER, is_pdf_born_digital INTEGER, state TEXT)")
+        con.executemany("INSERT INTO files VALUES (?, ?, ?, ?, ?)", [(i * 3, f"/é/{i}", i, i % 2 if i % 3 else None, None) for i in range(1, 500)])
+    rows = read_sqlite(spark, path, "files", FILES, rows_per_task=100, page=7)
+    assert rows.columns == FILES.names and rows.rdd.getNumPartitions() > 3
+    got = {r.file_id: (r.path_abs, r.size_bytes, r.is_pdf_born_digital, r.h1) for r in rows.collect()}
+    assert got == {i * 3: (f"/é/{i}", i, bool(i % 2) if i % 3 else None, None) for i in range(1, 500)}
+    catalog = Catalog(spark, str(tmp_path / "cat"))
+    import_sqlite(catalog, path)
+    assert catalog.files().count() == 499 and catalog.scans().count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_sqlite(spark, str(tmp_path / "none.db"), "files", FILES)
+
+
+def test_quick_hash_of_binary_contents(spark):
+    rows = [(bytes(range(n)), 8) for n in (0, 5, 8, 9, 20)] + [(None, 8)]
+    df = spark.createDataFrame(rows, "c binary, n int")
+    got = [r[0] for r in df.select(digests.quick_hash_of("c", "n")).collect()]
+    assert got == [None if c is None else digests.quick_digest(len(c), c[:8], c[-8:] if len(c) > 8 else b"") for c, _ in rows]
+
+
 @pytest.fixture
 def tree(tmp_path):
     root = tmp_path / "root"

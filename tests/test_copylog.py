@@ -1,6 +1,7 @@
 import datetime as dt
 
 from stratafile.operators import copylog
+from stratafile.sources.logs import read_log
 from stratafile.streaming.copymonitor import monitor
 
 LINES = [
@@ -48,3 +49,14 @@ def test_monitor(spark, tmp_path):
         row = spark.table(f"totals_{name}").first()
         assert (row.blocks, row.copied, row.bytes_total) == (3 * copies, 3 * copies, 1000 * copies)
         assert row.last_start == dt.datetime(2024, 1, 2, 13)
+
+
+def test_log_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.log").write_bytes(b"\n".join((x or "").encode() for x in LINES) + b"\n\xff broken\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        got = copylog.summary(read_log(spark, str(tmp_path)), position="position").first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (got.blocks, got.last_file, got.last_status) == (3, "last one.dwg", "failed")
+    assert got.start_time == dt.datetime(2024, 1, 1, 10)
