@@ -101,14 +101,22 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _id_type(t) -> str:
+    return "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def _encode(name: str, folder: str):
+    """Packs ids and, of a chunk's pretokens, lengths and numbers of ids; a chunk has at most MOST characters, so two bytes hold each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(name, folder)
+        kinds = (_id_type(t), "<u2", "<u2")
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 done = encode_parts(t, part.column("chunk").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("key"), *(_lists([d[k] for d in done]) for k in range(3))], names=["key", "ids", "chars", "counts"])
+                packed = [pa.array([d[k].astype(kind).tobytes() for d in done], pa.binary()) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *packed], names=["key", "ids", "chars", "counts"])
 
     return run
 
@@ -160,9 +168,12 @@ def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]])
 
 
 def _assemble(name: str, folder: str):
+    """Reads rows in the order of (row, part): of each chunk its text and then its codes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = load(name, folder)
-        row, doc, pieces = None, None, []
+        kind = _id_type(t)
+        row, doc, chunk, pieces = None, None, None, []
         docs, ids = [], []
 
         def close() -> None:
@@ -175,18 +186,16 @@ def _assemble(name: str, folder: str):
             return out
 
         for batch in batches:
-            rows, own, chunks = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("chunk").to_pylist()
-            parts = []
-            for c in ("ids", "chars", "counts"):
-                column = batch.column(c)
-                parts.append((column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)))
-            for i, r in enumerate(rows):
+            columns = [batch.column(c).to_pylist() for c in ("row", "part", "doc_id", "chunk", "ids", "chars", "counts")]
+            for r, part, own, text, packed, chars, counts in zip(*columns):
                 if r != row:
                     if row is not None:
                         close()
-                    row, doc, pieces = r, own[i], []
-                if chunks[i] is not None:
-                    pieces.append((chunks[i], *(values[offsets[i] : offsets[i + 1]] for offsets, values in parts)))
+                    row, pieces = r, []
+                if part % 2 == 0:
+                    doc, chunk = own, text
+                elif packed is not None:
+                    pieces.append((chunk, np.frombuffer(packed, kind).astype(np.int32), np.frombuffer(chars, "<u2"), np.frombuffer(counts, "<u2")))
             if sum(map(len, ids)) > 1_000_000 or len(docs) > 5_000:
                 yield flush()
         if row is not None:
@@ -212,6 +221,9 @@ def encode_corpus(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder:
     rows = take(documents, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     chunks = settled(arrow_map(rows.select("row", "doc_id", "text"), _split, "row long, doc_id long, seq int, key binary, chunk string"))
     distinct = chunks.where(F.col("key").isNotNull()).groupBy("key").agg(F.first("chunk").alias("chunk"))
-    codes = settled(arrow_map(distinct, _encode(tokenizer, folder), "key binary, ids array<int>, chars array<int>, counts array<int>"))
-    pieces = lookup_join(chunks, codes, ["key"], "left").select("row", "doc_id", "seq", "chunk", "ids", "chars", "counts")
-    return arrow_map(pieces.repartition("row").sortWithinPartitions("row", "seq"), _assemble(tokenizer, folder), "doc_id long, ids array<int>")
+    codes = settled(arrow_map(distinct, _encode(tokenizer, folder), "key binary, ids binary, chars binary, counts binary"))
+    coded = lookup_join(chunks.where(F.col("key").isNotNull()).select("row", "seq", "key"), codes, ["key"]).drop("key")
+    # texts and codes come together where they are joined: a text is shuffled with its own row, not with its keys
+    texts = chunks.select("row", (F.col("seq") * 2).alias("part"), "doc_id", "chunk")
+    parts = texts.unionByName(coded.select("row", (F.col("seq") * 2 + 1).alias("part"), "ids", "chars", "counts"), allowMissingColumns=True)
+    return arrow_map(parts.repartition("row").sortWithinPartitions("row", "part"), _assemble(tokenizer, folder), "doc_id long, ids array<int>")
