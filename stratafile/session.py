@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import tempfile
 import uuid
 import zipfile
@@ -64,11 +65,34 @@ def settled(df: DataFrame) -> DataFrame:
 
 def clear_shared(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; only when none of its results are needed any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_home(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, path = _file(spark, _home(spark))
+    fs.delete(path, True)
     _shipped.discard(spark.sparkContext.applicationId)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A small file on the shared storage, replaced as a whole: written beside and renamed, so that a stopped job leaves the old one or the new one."""
+    fs, p = _file(spark, path)
+    _, beside = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(json.dumps(value).encode())
+    out.close()
+    fs.delete(p, False)
+    fs.rename(beside, p)
+
+
+def read_json(spark: SparkSession, path: str, default=None):
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return default
+    return json.loads("\n".join(r.value for r in spark.read.text(p.toString()).collect()))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors, once an application, so that their Python workers can import it wherever they run."""
     sc = spark.sparkContext
@@ -78,8 +102,8 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(home.rglob("*.py")):
             z.write(file, file.relative_to(home.parent))
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'code')}/{home.name}.zip")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    fs, path = _file(spark, f"{shared_path(spark, 'code')}/{home.name}.zip")
+    out = fs.create(path)
     out.write(packed.getvalue())
     out.close()
     sc.addPyFile(path.toString())

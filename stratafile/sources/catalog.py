@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FILES, SCANS, migrated
+from ..session import read_json, write_json
 
 
 class Catalog:
@@ -17,16 +17,8 @@ class Catalog:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _file(self, name: str):
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return p.getFileSystem(conf), p
-
     def _pointer(self) -> dict[str, str]:
-        fs, p = self._file("CURRENT")
-        if not fs.exists(p):
-            return {}
-        return json.loads("\n".join(r.value for r in self.spark.read.text(p.toString()).collect()))
+        return read_json(self.spark, f"{self.path}/CURRENT.json", {})
 
     def exists(self) -> bool:
         return bool(self._pointer())
@@ -50,10 +42,7 @@ class Catalog:
             at = f"{name}-{uuid.uuid4().hex}"
             df.write.parquet(f"{self.path}/{at}")
             now[name] = at
-        fs, p = self._file("CURRENT")
-        out = fs.create(p, True)
-        out.write(json.dumps(now).encode())
-        out.close()
+        write_json(self.spark, f"{self.path}/CURRENT.json", now)
 
     def next_ids(self) -> tuple[int, int]:
         """The next scan_run_id and file_id."""
