@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code
 from ..operators.common import take
-from ..session import shared_path
+from ..session import read_json, shared_path, write_json
 
 #: The field under which the store counts records themselves.
 ALL = "*"
@@ -67,13 +67,13 @@ class TermCounts:
     """Counts that persist between deliveries: versions of field, val, occ, recs below a shared folder, partitioned by field.
 
     apply() merges signed changes into a new version and then switches to it; a lost executor or a stopped
-    job leaves the last version whole.
+    job leaves the last version whole. With the path of counts that are there already, it goes on from them.
     """
 
     def __init__(self, spark: SparkSession, values: list[str], term_lists: list[str], path: str | None = None):
         self.spark, self.values, self.term_lists = spark, values, term_lists
-        self.path = path or shared_path(spark, "terms")
-        self.version = 0
+        self.path = (path or shared_path(spark, "terms")).rstrip("/")
+        self.version = read_json(spark, f"{self.path}/VERSION.json", 0)
 
     def counts(self) -> DataFrame:
         if not self.version:
@@ -84,7 +84,9 @@ class TermCounts:
         deltas = term_deltas(added, removed, self.values, self.term_lists)
         if self.version:
             deltas = deltas.unionByName(self.counts()).groupBy("field", "val").agg(F.sum("occ").alias("occ"), F.sum("recs").alias("recs")).where((F.col("occ") != 0) | (F.col("recs") != 0))
-        deltas.write.partitionBy("field").parquet(f"{self.path}/v{self.version + 1}")
+        # a version that a stopped job has left unfinished is written over
+        deltas.write.partitionBy("field").mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
+        write_json(self.spark, f"{self.path}/VERSION.json", self.version + 1)
         self.version += 1
 
     def marked(self, rare_under: int = 6, common_over_percent: int = 10) -> DataFrame:

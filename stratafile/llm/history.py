@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ext_key, is_active, valid_quick_hash, valid_sha256
 from ..operators.common import lookup_join, take
-from ..session import settled, shared_path
+from ..session import read_json, settled, shared_path, write_json
 
 #: What a posting is found by. token is the record's rare token; length and ext are its common ones, which get no postings of their own.
 KEY = ["token", "length", "ext"]
@@ -39,33 +39,46 @@ def _postings(tokens: DataFrame) -> DataFrame:
 class HistoryIndex:
     """Inverted index over everything accepted, in segments below a shared folder, one for each append.
 
-    Every segment is partitioned by token into the same number of buckets and sorted in them, so a probe
+    With the path of an index that is there already, it goes on from its segments; buckets is then what it was. Every segment is partitioned by token into the same number of buckets and sorted in them, so a probe
     shuffles the batch's keys alone and reads the index where it lies. After `most_segments` appends
     the segments are merged into one.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, most_segments: int = 8):
         self.spark = spark
-        self.path = path or shared_path(spark, "history")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = (path or shared_path(spark, "history")).rstrip("/")
         self.most_segments = most_segments
-        self.name = f"history_{uuid.uuid4().hex}"
-        self.segments: list[str] = []
+        state = read_json(spark, f"{self.path}/INDEX.json", {})
+        self.buckets = state.get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.segments: list[str] = state.get("segments", [])
+        for name in self.segments:
+            if not spark.catalog.tableExists(name):
+                keys = ", ".join(KEY)
+                spark.sql(
+                    f"CREATE TABLE {name} (token STRING, length BIGINT, ext STRING, first_id BIGINT) USING parquet "
+                    f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+                )
 
     def _write(self, postings: DataFrame) -> str:
-        name = f"{self.name}_{uuid.uuid4().hex}"
+        name = f"history_{uuid.uuid4().hex}"
         writer = postings.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY)
         writer.option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _switch(self, segments: list[str]) -> None:
+        """From here on the index is made of these segments; a job that stops before leaves it as it was."""
+        write_json(self.spark, f"{self.path}/INDEX.json", {"buckets": self.buckets, "segments": segments})
+        self.segments = segments
+
     def append(self, rows: DataFrame) -> None:
         """Adds the postings of accepted rows."""
-        self.segments.append(self._write(_postings(_tokens(rows))))
-        if len(self.segments) > self.most_segments:
-            merged = self.spark.table(self.segments[0])
-            for name in self.segments[1:]:
+        segments = [*self.segments, self._write(_postings(_tokens(rows)))]
+        if len(segments) > self.most_segments:
+            merged = self.spark.table(segments[0])
+            for name in segments[1:]:
                 merged = merged.unionByName(self.spark.table(name))
-            self.segments = [self._write(merged.groupBy(*KEY).agg(F.min("first_id").alias("first_id")))]
+            segments = [self._write(merged.groupBy(*KEY).agg(F.min("first_id").alias("first_id")))]
+        self._switch(segments)
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """Rows of a batch whose content is already in the index or in an earlier row of the batch.
@@ -99,6 +112,7 @@ class HistoryIndex:
         return found
 
     def drop(self) -> None:
+        """Empties the index."""
         for name in self.segments:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.segments = []
+        self._switch([])

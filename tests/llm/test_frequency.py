@@ -61,3 +61,12 @@ def test_empty_long_and_clashing(spark, make_files):
     long = row(1, "." + "e" * 50_000, "s", "tok " * 20_000)
     c.apply(added=make_files(long, long).selectExpr("*", "1 AS EXT", "2 AS _sign", "3 AS field", "4 AS val"))
     assert found(c) == brute([long, long])
+
+
+def test_counts_are_taken_up_again(spark, make_files, tmp_path):
+    rng = random.Random(8)
+    rows, more = some(rng, 50), some(rng, 20)
+    at = lambda: TermCounts(spark, ["ext", "state"], ["error_code"], str(tmp_path / "terms"))
+    at().apply(added=make_files(*rows))
+    at().apply(added=make_files(*more))
+    assert at().version == 2 and found(at()) == brute(rows + more)

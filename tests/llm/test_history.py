@@ -96,3 +96,17 @@ def test_empty_tables_long_texts_and_clashing_columns(spark, make_files):
     batch = make_files(row(1, SHA[0], "x" * 100_000, ext="y" * 100_000), row(2, SHA[0]), row(None, SHA[0]), row(2, SHA[0]))
     clash = batch.selectExpr("*", "'a' AS SHA256", "1 AS token", "2 AS length", "3 AS first_id")
     assert set(found(index.deliver(clash))) == {(1, 2, "exact")}
+
+
+def test_an_index_is_taken_up_again(spark, make_files, tmp_path):
+    path = str(tmp_path / "index")
+    first = HistoryIndex(spark, path, buckets=3)
+    first.append(make_files(row(1, SHA[0])))
+    first.append(make_files(row(2, SHA[1])))
+    for name in first.segments:
+        spark.sql(f"DROP TABLE {name}")  # as in a new session
+    again = HistoryIndex(spark, path)
+    assert again.buckets == 3 and len(again.segments) == 2
+    assert found(again.deliver(make_files(row(5, SHA[1]), row(6, SHA[0])))) == [(1, 6, "exact"), (2, 5, "exact")]
+    plan = again.probe(make_files(row(7, SHA[0])))
+    assert found(plan) == [(1, 7, "exact")]
