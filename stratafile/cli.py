@@ -133,7 +133,7 @@ def run_dedupe(args: argparse.Namespace) -> int:
         for r in report.toLocalIterator():
             if r["rank"] != last:
                 last = r["rank"]
-                print(f"#{last}: {r.cnt} copies of {r.size_bytes:,} bytes, {r.total_wasted:,} wasted, {r.sha256[:16]}")
+                print(f"#{last}: {r.cnt} copies of {r.size_bytes:,} bytes, {r.total_wasted:,} wasted, {(r.sha256 or r.blake3)[:16]}")
             print(f"    {r.path_abs}  {r.mtime_utc}")
     return 0
 

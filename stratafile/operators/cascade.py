@@ -37,14 +37,15 @@ def quick_hash_candidates(files: DataFrame, scope: Scope) -> DataFrame:
     return groups.in_size_ext_groups(rows, files, scope.min_size, scope.min_count).select("file_id", "path_abs", "size_bytes")
 
 
-def _without_sha(files: DataFrame, scope: Scope) -> DataFrame:
-    rows = groups.active(files).where(F.col("sha256").isNull() & prefix_filter("path_abs", scope.include, scope.exclude))
+def _without_sha(files: DataFrame, scope: Scope, digest: str = "sha256") -> DataFrame:
+    missing = F.col("sha256").isNull() if digest == "sha256" else F.coalesce(digest, F.lit("")) == ""
+    rows = groups.active(files).where(missing & prefix_filter("path_abs", scope.include, scope.exclude))
     return groups.in_size_ext_groups(rows, files, scope.min_size, scope.min_count)
 
 
-def sha_candidates(files: DataFrame, scope: Scope, network_friendly: bool = False) -> DataFrame:
-    """Active files without sha256 in a group of size and extension, whose quick hash occurs more than once among all files (inactive ones too); unless network_friendly also those under the small-file limit without a quick hash."""
-    rows = _without_sha(files, scope)
+def sha_candidates(files: DataFrame, scope: Scope, network_friendly: bool = False, digest: str = "sha256") -> DataFrame:
+    """Active files without the whole digest in a group of size and extension, whose quick hash occurs more than once among all files (inactive ones too); unless network_friendly also those under the small-file limit without a quick hash."""
+    rows = _without_sha(files, scope, digest)
     twice = groups.repeated(files, "quick_hash").select(F.col("quick_hash").alias("_key"), F.lit(True).alias("_twice"))
     # rows without a quick hash match nothing; a key of their own keeps them from meeting in one partition
     flagged = rows.withColumn("_key", F.coalesce("quick_hash", F.concat(F.lit("?"), F.col("file_id")))).join(twice, "_key", "left")
@@ -59,9 +60,9 @@ def collisions(rows: DataFrame, *keys: str) -> DataFrame:
     return groups.members(rows, groups.repeated(rows, *keys), {k: F.col(k) for k in keys})
 
 
-def progressive_candidates(files: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
+def progressive_candidates(files: DataFrame, scope: Scope, digest: str = "sha256") -> tuple[DataFrame, DataFrame]:
     """Candidates whose head digest h1 collides within a size, and of those the ones whose tail digest h2 collides too. The extension has no part in it."""
-    heads = collisions(_without_sha(files, scope).select("file_id", "path_abs", "size_bytes", "h1", "h2"), "size_bytes", "h1")
+    heads = collisions(_without_sha(files, scope, digest).select("file_id", "path_abs", "size_bytes", "h1", "h2"), "size_bytes", "h1")
     return heads, collisions(heads, "size_bytes", "h1", "h2")
 
 
@@ -82,7 +83,8 @@ def detect_duplicates(
 
     Each stage reads only what the one before could not tell apart, and its outcome is written to the shared folder before the next starts:
     quick hashes of candidates, then whole digests of those that still agree (progressive: after head and tail samples instead),
-    then the count of groups; files with a sha256 become done. Files that are gone become missing, unreadable ones error.
+    then the count of groups; files with a whole digest become done. use_blake3 reads what has no blake3 yet, also where a sha256 is
+    known, as digests of two algorithms can't be compared. Files that are gone become missing, unreadable ones error.
     """
     d, scope = config.dedupe, Scope.of(config, include, exclude)
     quick_bytes, chunk, sample = d.quick_hash_bytes, d.sha_chunk_bytes, sample_bytes or config.default_sample()
@@ -102,18 +104,19 @@ def detect_duplicates(
         quick_count = tally(found)
         files = settled(transitions.apply_failures(transitions.apply_quick_hash(files, found), found))
     if sha256:
-        digest = {"blake3"} if use_blake3 else {"sha256"}
+        whole = "blake3" if use_blake3 else "sha256"
+        digest = {whole}
         if progressive:
-            heads = settled(hash_files(_without_sha(files, scope), {"h1"}, sample, chunk))
+            heads = settled(hash_files(_without_sha(files, scope, whole), {"h1"}, sample, chunk))
             tally(heads)
             files = settled(transitions.apply_failures(transitions.apply_samples(files, heads), heads))
-            first, _ = progressive_candidates(files, scope)
+            first, _ = progressive_candidates(files, scope, whole)
             tails = settled(hash_files(first, {"h2"}, sample, chunk))
             tally(tails)
             files = settled(transitions.apply_failures(transitions.apply_samples(files, tails), tails))
-            candidates = progressive_candidates(files, scope)[1]
+            candidates = progressive_candidates(files, scope, whole)[1]
         else:
-            candidates = sha_candidates(files, scope, network_friendly)
+            candidates = sha_candidates(files, scope, network_friendly, whole)
             small = candidates.where(F.col("quick_hash").isNull() & (F.col("size_bytes") < scope.small))
             digest = digest | ({"quick_hash"} if small.limit(1).count() else set())
         found = settled(hash_files(candidates, digest, quick_bytes, chunk))

@@ -73,10 +73,31 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return out
 
 
+def digest_columns(files: DataFrame) -> list[str]:
+    return [c for c in ("sha256", "blake3") if c in files.columns]
+
+
+def digested(files: DataFrame) -> DataFrame:
+    """Adds `_digest`, the algorithm and digest that a file is grouped by: its sha256, else its blake3; NULL without either. Then only one of both columns is set.
+
+    A file with blake3 alone takes the sha256 of a file with that blake3, if there is one, as their contents are the same. An empty
+    blake3 is none. Tables without the column blake3 are grouped by sha256.
+    """
+    if "blake3" not in files.columns:
+        return files.withColumn("_digest", F.col("sha256"))
+    own, known = F.nullif(F.col("blake3"), F.lit("")), F.col("sha256").isNotNull()
+    peers = files.where(known & own.isNotNull()).groupBy(own.alias("_blake3")).agg(F.min("sha256").alias("_sha256"))
+    # rows with a sha256 match nothing; a key of their own keeps them from meeting in one partition
+    rows = files.withColumn("_blake3", F.when(~known, own)).withColumn("_key", F.coalesce("_blake3", F.concat(F.lit("?"), "file_id")))
+    rows = rows.join(peers.withColumnRenamed("_blake3", "_key"), "_key", "left").drop("_key")
+    rows = rows.withColumn("sha256", F.coalesce("sha256", "_sha256")).withColumn("blake3", F.when(~known, F.col("_blake3"))).drop("_blake3", "_sha256")
+    return rows.withColumn("_digest", F.coalesce(F.concat(F.lit("sha256:"), "sha256"), F.concat(F.lit("blake3:"), "blake3")))
+
+
 def sha_groups(files: DataFrame) -> DataFrame:
-    """sha256, cnt and total_size of the digests that several active files share."""
-    rows = active(files).where(F.col("sha256").isNotNull())
-    return rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("cnt"), F.sum("size_bytes").alias("total_size")).where(F.col("cnt") > 1)
+    """sha256, blake3 (one of them NULL), cnt and total_size of the digests that several active files share."""
+    rows = active(digested(files)).where(F.col("_digest").isNotNull())
+    return rows.groupBy(*digest_columns(files)).agg(F.count(F.lit(1)).alias("cnt"), F.sum("size_bytes").alias("total_size")).where(F.col("cnt") > 1)
 
 
 def duplicate_summary(files: DataFrame) -> DataFrame:
@@ -115,17 +136,18 @@ def metadata_wasted(groups: DataFrame) -> DataFrame:
 
 
 def duplicate_report(files: DataFrame, limit: int = 100, include: Sequence[str] = (), exclude: Sequence[str] = (), compatible: bool = False) -> DataFrame:
-    """The `limit` groups of equal sha256 that waste most, one row a member: rank, sha256, cnt, size_bytes, total_wasted, file_id, path_abs, mtime_utc.
+    """The `limit` groups of equal digests that waste most, one row a member: rank, sha256, blake3 (one of them NULL), cnt, size_bytes, total_wasted, file_id, path_abs, mtime_utc.
 
-    Ranked by size times (count - 1), ties by sha256. Members are the active files of the group; compatible: all of its
+    Ranked by size times (count - 1), ties by digest. Members are the active files of the group; compatible: all of its
     files, so that there can be more of them than cnt. At most `limit` groups are broadcast to the files.
     """
-    files = files.where(prefix_filter("path_abs", include, exclude))
-    rows = active(files).where(F.col("sha256").isNotNull())
-    g = rows.groupBy("sha256").agg(F.count(F.lit(1)).alias("cnt"), F.min("size_bytes").alias("size_bytes")).where(F.col("cnt") > 1)
-    g = g.withColumn("total_wasted", F.col("size_bytes") * (F.col("cnt") - 1)).orderBy(F.desc("total_wasted"), "sha256").limit(limit)
+    keys = digest_columns(files)
+    files = digested(files).where(prefix_filter("path_abs", include, exclude))
+    rows = active(files).where(F.col("_digest").isNotNull())
+    g = rows.groupBy("_digest").agg(F.count(F.lit(1)).alias("cnt"), F.min("size_bytes").alias("size_bytes")).where(F.col("cnt") > 1)
+    g = g.withColumn("total_wasted", F.col("size_bytes") * (F.col("cnt") - 1)).orderBy(F.desc("total_wasted"), "_digest").limit(limit)
     # numbered over the few rows that the limit leaves
-    top = g.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("total_wasted")).alias("w"), "sha256", "cnt", "size_bytes"))).alias("a"))
-    top = top.select(F.posexplode("a").alias("i", "g")).select((F.col("i") + 1).alias("rank"), "g.sha256", "g.cnt", F.col("g.size_bytes").alias("size_bytes"), (-F.col("g.w")).alias("total_wasted"))
-    own = (files if compatible else active(files)).where(F.col("sha256").isNotNull()).select("sha256", "file_id", "path_abs", "mtime_utc")
-    return own.join(F.broadcast(top), "sha256").select("rank", "sha256", "cnt", "size_bytes", "total_wasted", "file_id", "path_abs", "mtime_utc")
+    top = g.groupBy().agg(F.array_sort(F.collect_list(F.struct((-F.col("total_wasted")).alias("w"), "_digest", "cnt", "size_bytes"))).alias("a"))
+    top = top.select(F.posexplode("a").alias("i", "g")).select((F.col("i") + 1).alias("rank"), "g._digest", "g.cnt", F.col("g.size_bytes").alias("size_bytes"), (-F.col("g.w")).alias("total_wasted"))
+    own = (files if compatible else active(files)).where(F.col("_digest").isNotNull()).select("_digest", *keys, "file_id", "path_abs", "mtime_utc")
+    return own.join(F.broadcast(top), "_digest").select("rank", *keys, "cnt", "size_bytes", "total_wasted", "file_id", "path_abs", "mtime_utc")

@@ -21,7 +21,7 @@ def mtime_micros(c: Column | str = "mtime_utc") -> Column:
 
 
 def prune_plan(files: DataFrame, strategy: str = "oldest", include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:
-    """Of each sha256 that several active files share: sha256, file_id, path_abs, size_bytes, rank and role (keep or remove).
+    """Of each digest that several active files share: sha256, blake3 (one of them NULL), file_id, path_abs, size_bytes, rank and role (keep or remove).
 
     Rank 1 is kept: the oldest or newest by mtime, ties by lower-case path, then id. A path that was scanned several times
     counts once, by its latest row, so nothing is planned that would remove a keeper's own path; rows without a path have no part. Ranks are numbered by
@@ -29,14 +29,15 @@ def prune_plan(files: DataFrame, strategy: str = "oldest", include: Sequence[str
     """
     if strategy not in ("oldest", "newest"):
         raise ValueError(f"strategy must be oldest or newest, not {strategy}")
-    rows = groups.active(groups.latest_per_path(files)).where(F.col("sha256").isNotNull() & F.col("path_abs").isNotNull() & prefix_filter("path_abs", include, exclude))
-    rows = rows.select("sha256", "file_id", "path_abs", "size_bytes", mtime_micros().alias("_mtime"), F.lower("path_abs").alias("_path"))
-    shared = groups.repeated(rows, "sha256").select("sha256", F.lit(True).alias("_shared"))
-    rows = lookup_join(rows, shared, ["sha256"]).drop("_shared")
+    rows = groups.active(groups.latest_per_path(groups.digested(files))).where(F.col("_digest").isNotNull() & F.col("path_abs").isNotNull() & prefix_filter("path_abs", include, exclude))
+    keys = groups.digest_columns(files)
+    rows = rows.select("_digest", *keys, "file_id", "path_abs", "size_bytes", mtime_micros().alias("_mtime"), F.lower("path_abs").alias("_path"))
+    shared = groups.repeated(rows, "_digest").select("_digest", F.lit(True).alias("_shared"))
+    rows = lookup_join(rows, shared, ["_digest"]).drop("_shared")
     time = F.asc("_mtime") if strategy == "oldest" else F.desc("_mtime")
-    ranked = balanced_rank(rows, ["sha256"], [time, F.asc("_path"), F.asc("file_id")])
+    ranked = balanced_rank(rows, ["_digest"], [time, F.asc("_path"), F.asc("file_id")])
     role = F.when(F.col("rank") == 1, "keep").otherwise("remove")
-    return ranked.select("sha256", "file_id", "path_abs", "size_bytes", "rank", role.alias("role"))
+    return ranked.select(*keys, "file_id", "path_abs", "size_bytes", "rank", role.alias("role"))
 
 
 def prune_stats(plan: DataFrame) -> DataFrame:

@@ -70,8 +70,11 @@ def apply_full_digest(files: DataFrame, found: DataFrame, mirror: bool = False)
 
 
 def mark_done(files: DataFrame) -> DataFrame:
-    """State done where it is quick_hashed or sha_verified and a sha256 is known."""
-    done = F.col("state").isin("quick_hashed", "sha_verified") & F.col("sha256").isNotNull()
+    """State done where it is quick_hashed or sha_verified and a sha256 or blake3 (where there is that column) is known."""
+    known = F.col("sha256").isNotNull()
+    if "blake3" in files.columns:
+        known = known | (F.coalesce("blake3", F.lit("")) != "")
+    done = F.col("state").isin("quick_hashed", "sha_verified") & known
     return files.withColumn("state", F.when(done, "done").otherwise(F.col("state")))
 
 

@@ -40,6 +40,11 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files")
 
 
+def _by_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files without blake3: the SQL of these queries is about sha256 alone."""
+    return _files(spark, sf_dir).drop("blake3")
+
+
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ACTIVE = "state NOT IN ('error', 'missing')"
 
@@ -156,13 +161,13 @@ WHERE sha256 IS NOT NULL AND {_ACTIVE} GROUP BY 1 HAVING count(*) > 1"""
 
 @query(_SHA_GROUPS)
 def sha_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.sha_groups(_files(spark, sf_dir))
+    return groups.sha_groups(_by_sha(spark, sf_dir))
 
 
 @query(f"""SELECT count(*) AS groups, CAST(sum(cnt) AS BIGINT) AS files, round(sum(CAST(total_size AS DOUBLE) - CAST(total_size AS DOUBLE) / cnt), 0) AS wasted_bytes
 FROM ({_SHA_GROUPS}) g""")
 def dedupe_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.duplicate_summary(_files(spark, sf_dir)).withColumn("wasted_bytes", F.round("wasted_bytes", 0))
+    return groups.duplicate_summary(_by_sha(spark, sf_dir)).withColumn("wasted_bytes", F.round("wasted_bytes", 0))
 
 
 def _report_sql(strict: bool) -> str:
@@ -176,12 +181,12 @@ FROM r JOIN files f ON f.sha256 = r.sha256 WHERE r.rank <= 100{' AND f.' + _ACTI
 @query(_report_sql(True))
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top 100 groups are the feature."""
-    return groups.duplicate_report(_files(spark, sf_dir), 100)
+    return groups.duplicate_report(_by_sha(spark, sf_dir), 100)
 
 
 @query(_report_sql(False))
 def duplicate_report_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.duplicate_report(_files(spark, sf_dir), 100, compatible=True)
+    return groups.duplicate_report(_by_sha(spark, sf_dir), 100, compatible=True)
 
 
 def _plan_sql(order: str) -> str:
@@ -193,24 +198,24 @@ SELECT sha256, file_id, path_abs, size_bytes, rk AS rank, CASE WHEN rk = 1 THEN
 
 @query(_plan_sql("ASC"))
 def prune_plan_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.prune_plan(_files(spark, sf_dir), "oldest")
+    return keepers.prune_plan(_by_sha(spark, sf_dir), "oldest")
 
 
 @query(_plan_sql("DESC"))
 def prune_plan_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.prune_plan(_files(spark, sf_dir), "newest")
+    return keepers.prune_plan(_by_sha(spark, sf_dir), "newest")
 
 
 @query(f"""SELECT count(*) FILTER (role = 'keep') AS hash_groups, count(*) FILTER (rank = 2) AS groups_modified,
   count(*) FILTER (role = 'remove') AS files_considered, CAST(coalesce(sum(size_bytes) FILTER (role = 'remove'), 0) AS BIGINT) AS potential_bytes
 FROM ({_plan_sql("ASC")}) x""")
 def prune_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.prune_stats(keepers.prune_plan(_files(spark, sf_dir), "oldest"))
+    return keepers.prune_stats(keepers.prune_plan(_by_sha(spark, sf_dir), "oldest"))
 
 
 @query(f"SELECT file_id, sha256 FROM files WHERE file_id NOT IN (SELECT file_id FROM ({_plan_sql('ASC')}) x WHERE role = 'remove')")
 def files_after_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _files(spark, sf_dir)
+    files = _by_sha(spark, sf_dir)
     plan = keepers.prune_plan(files, "oldest")
     return transitions.without(files, plan.where(F.col("role") == "remove")).select("file_id", "sha256")
 
@@ -413,7 +418,7 @@ def apply_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("blake3"),
         F.lit("success").alias("outcome"),
     )
-    return transitions.mark_done(transitions.apply_sha(files, found)).select("file_id", "sha256", "quick_hash", "state")
+    return transitions.mark_done(transitions.apply_sha(files.drop("blake3"), found)).select("file_id", "sha256", "quick_hash", "state")
 
 
 @query(f"""WITH {_DOCS} SELECT f.file_id, CASE WHEN c.text IS NOT NULL THEN sha256(c.text) ELSE f.sha256 END AS sha256,
@@ -428,7 +433,7 @@ def hash_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT file_id, CASE WHEN state IN ('quick_hashed', 'sha_verified') AND sha256 IS NOT NULL THEN 'done' ELSE state END AS state FROM files")
 def mark_done(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transitions.mark_done(_files(spark, sf_dir)).select("file_id", "state")
+    return transitions.mark_done(_by_sha(spark, sf_dir)).select("file_id", "state")
 
 
 _GONE = "(coalesce(error_code, '') <> '' AND state = 'done')"

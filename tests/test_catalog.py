@@ -215,3 +215,30 @@ def test_commands(spark, tree, tmp_path, capsys, monkeypatch):
         export_parquet(Catalog(spark, str(tmp_path / "none")), str(tmp_path / "out2"))
     assert cli.main(["gui", "--config", str(config), "--search", "pdf"]) == 0
     assert cli.main([]) == 1
+
+
+def test_blake3_duplicates_are_summed_reported_and_planned(make_files, tmp_path, monkeypatch):
+    from stratafile.functions.digests import hash_files
+
+    def stand_in(candidates, wanted, *sizes, **x):
+        """sha256 under another name, as the library isn't everywhere."""
+        found = hash_files(candidates, {"sha256" if d == "blake3" else d for d in wanted}, *sizes, **x)
+        return found.withColumns({"blake3": F.col("sha256"), "sha256": F.lit(None).cast("string")}) if "blake3" in wanted else found
+
+    monkeypatch.setattr(cascade, "hash_files", stand_in)
+    for i in (1, 2, 3):
+        (tmp_path / f"{i}").write_bytes(b"x" * 10 if i < 3 else b"y" * 10)
+    config = CatalogConfig(roots=[], dedupe=DedupeConfig(min_file_size=1, min_duplicate_count=2))
+    files = make_files(*(row(i, str(tmp_path / f"{i}"), state="pending") for i in (1, 2, 3)))
+    files, summary = cascade.detect_duplicates(files, config, use_blake3=True)
+    assert (summary.first().duplicate_groups, summary.first().duplicate_files, summary.first().wasted_bytes) == (1, 2, 10)
+    assert {r.file_id: r.state for r in files.collect()} == {1: "done", 2: "done", 3: "quick_hashed"}
+    assert ids(groups.duplicate_report(files)) == [1, 2]
+    assert sorted((r.file_id, r.role) for r in keepers.prune_plan(files).collect()) == [(1, "keep"), (2, "remove")]
+    assert cascade.detect_duplicates(files, config, use_blake3=True)[1].first().sha256_count == 0
+
+
+def test_a_file_with_both_digests_links_them(make_files):
+    files = make_files(row(1, "/a", sha256="s"), row(2, "/b", sha256="s", blake3="b"), row(3, "/c", blake3="b"), row(4, "/d", blake3="s"), row(5, "/e", blake3=""), row(6, "/f", blake3=""))
+    assert ids(groups.duplicate_report(files)) == [1, 2, 3]
+    assert ids(keepers.prune_plan(files)) == [1, 2, 3]
