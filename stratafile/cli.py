@@ -57,7 +57,7 @@ def run_hash(args: argparse.Namespace) -> int:
 
 def _prune_metadata(catalog: Catalog, config: CatalogConfig, args: argparse.Namespace) -> None:
     d = config.dedupe
-    gone = settled(keepers.metadata_prune(catalog.files(), d.min_file_size, d.min_duplicate_count, args.include_prefix or [], args.exclude_prefix or []))
+    gone = settled(keepers.metadata_prune(catalog.files(), catalog.scans(), d.min_file_size, d.min_duplicate_count, args.include_prefix or [], args.exclude_prefix or []))
     n = gone.count()
     if not n:
         print("No metadata duplicates; nothing to prune.")
@@ -67,11 +67,11 @@ def _prune_metadata(catalog: Catalog, config: CatalogConfig, args: argparse.Name
 
 
 def _delete(catalog: Catalog, args: argparse.Namespace) -> None:
-    plan = settled(keepers.prune_plan(catalog.files(), "newest" if args.keep_newest else "oldest", args.include_prefix or [], args.exclude_prefix or []))
+    plan = settled(keepers.prune_plan(catalog.files(), catalog.scans(), "newest" if args.keep_newest else "oldest", args.include_prefix or [], args.exclude_prefix or []))
     stats = keepers.prune_stats(plan).first()
     print(f"Groups: {stats.hash_groups:,}; to remove: {stats.files_considered:,} files, {stats.potential_bytes / 1024**3:.2f} GB")
     if not stats.files_considered:
-        print("No duplicate files eligible for removal.")
+        print("Every group is down to one file already.")
         return
     if args.dry_run:
         print("Dry run; nothing was removed.")

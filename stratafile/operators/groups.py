@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.instants import instant_micros
 from ..functions.paths import prefix_filter
+from ..functions.text import path_key
+from ..session import settled
+from .common import small_join, take
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -25,13 +29,21 @@ def first_members(rows: DataFrame, keys: list[str], order: list[Column], most: i
     return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
 
 
-def latest_per_path(files: DataFrame) -> DataFrame:
-    """One row a path: that of the highest scan run, in it of the highest id. A path that was scanned twice is no duplicate of itself.
+def run_starts(scans: DataFrame) -> DataFrame:
+    """scan_run_id, once each, and run_at, when the run started in microseconds since 1970; NULL if that can't be read."""
+    runs = take(scans, "scan_run_id", "started_at").where(F.col("scan_run_id").isNotNull())
+    return settled(runs.groupBy("scan_run_id").agg(F.max(instant_micros("started_at")).alias("run_at")))
 
-    Rows without a path are kept, as none of them repeats another.
+
+def latest_per_path(files: DataFrame, scans: DataFrame, ties: Sequence[Column] = ()) -> DataFrame:
+    """One row a path, compared in lower case: that of its latest run by started_at, in it that of the highest id. A path that was listed twice is no duplicate of itself, however it is spelled.
+
+    Runs that start at one time count by id; a run that isn't in scans or whose start can't be read comes before all others. Rows without a path are
+    kept, as none of them repeats another. ties: what decides beyond that. A path of any number of rows sends one row a task.
     """
-    latest = first_members(files.where(F.col("path_abs").isNotNull()), ["path_abs"], [F.desc_nulls_last("scan_run_id"), F.desc_nulls_last("file_id")], 1)
-    return files.where(F.col("path_abs").isNull()).unionByName(latest.drop("place"))
+    placed = small_join(files.where(F.col("path_abs").isNotNull()), run_starts(scans), ["scan_run_id"], "left").withColumn("_path", path_key("path_abs"))
+    order = [F.desc_nulls_last("run_at"), F.desc_nulls_last("scan_run_id"), F.desc_nulls_last("file_id"), *ties]
+    return files.where(F.col("path_abs").isNull()).unionByName(first_members(placed, ["_path"], order, 1).select(*files.columns))
 
 
 def size_ext_groups(files: DataFrame, min_size: int, min_count: int) -> DataFrame:

@@ -40,6 +40,10 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "files")
 
 
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "scans")
+
+
 def _by_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files without blake3: the SQL of these queries is about sha256 alone."""
     return _files(spark, sf_dir).drop("blake3")
@@ -58,7 +62,10 @@ _KEYS = f"""k AS (SELECT size_bytes, coalesce(ext, '') AS ext FROM files
   WHERE {_ACTIVE} AND size_bytes >= 262144 GROUP BY 1, 2 HAVING count(*) >= 5)"""
 _TWICE = "d AS (SELECT quick_hash FROM files WHERE quick_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"
 _IN_KEYS = "(f.size_bytes, coalesce(f.ext, '')) IN (SELECT (size_bytes, ext) FROM k)"
-_LATEST = "l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path_abs ORDER BY scan_run_id DESC, file_id DESC) AS rn FROM files) x WHERE rn = 1 OR path_abs IS NULL)"
+_STARTS = f"st AS (SELECT scan_run_id, max({sql_micros('started_at')}) AS run_at FROM scans GROUP BY 1)"
+_LATEST = f"""{_STARTS}, l AS (SELECT * FROM (
+  SELECT f.*, row_number() OVER (PARTITION BY lower(path_abs) ORDER BY run_at DESC NULLS LAST, f.scan_run_id DESC NULLS LAST, file_id DESC NULLS LAST) AS rn
+  FROM files f LEFT JOIN st USING (scan_run_id)) x WHERE rn = 1 OR path_abs IS NULL)"""
 _MTIME = f"coalesce({sql_micros('mtime_utc')}, 0)"
 
 
@@ -198,25 +205,33 @@ SELECT sha256, file_id, path_abs, size_bytes, rk AS rank, CASE WHEN rk = 1 THEN
 
 @query(_plan_sql("ASC"))
 def prune_plan_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.prune_plan(_by_sha(spark, sf_dir), "oldest")
+    return keepers.prune_plan(_by_sha(spark, sf_dir), _scans(spark, sf_dir), "oldest")
 
 
 @query(_plan_sql("DESC"))
 def prune_plan_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.prune_plan(_by_sha(spark, sf_dir), "newest")
+    return keepers.prune_plan(_by_sha(spark, sf_dir), _scans(spark, sf_dir), "newest")
 
 
 @query(f"""SELECT count(*) FILTER (role = 'keep') AS hash_groups, count(*) FILTER (rank = 2) AS groups_modified,
   count(*) FILTER (role = 'remove') AS files_considered, CAST(coalesce(sum(size_bytes) FILTER (role = 'remove'), 0) AS BIGINT) AS potential_bytes
 FROM ({_plan_sql("ASC")}) x""")
 def prune_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.prune_stats(keepers.prune_plan(_by_sha(spark, sf_dir), "oldest"))
+    return keepers.prune_stats(keepers.prune_plan(_by_sha(spark, sf_dir), _scans(spark, sf_dir), "oldest"))
+
+
+@query(f"""WITH p AS (SELECT * FROM ({_plan_sql("DESC")}) x)
+SELECT count(*) FILTER (role = 'keep') AS kept, count(*) FILTER (role = 'remove') AS removed,
+  count(*) FILTER (role = 'remove' AND EXISTS (SELECT 1 FROM p o WHERE lower(o.path_abs) = lower(p.path_abs) AND o.file_id <> p.file_id)) AS unsafe FROM p""")
+def prune_plan_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals that have the path of a keeper, or a path twice: none, whatever case a path was listed in."""
+    return keepers.plan_safety(keepers.prune_plan(_by_sha(spark, sf_dir), _scans(spark, sf_dir), "newest"))
 
 
 @query(f"SELECT file_id, sha256 FROM files WHERE file_id NOT IN (SELECT file_id FROM ({_plan_sql('ASC')}) x WHERE role = 'remove')")
 def files_after_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _by_sha(spark, sf_dir)
-    plan = keepers.prune_plan(files, "oldest")
+    plan = keepers.prune_plan(files, _scans(spark, sf_dir), "oldest")
     return transitions.without(files, plan.where(F.col("role") == "remove")).select("file_id", "sha256")
 
 
@@ -265,7 +280,7 @@ m AS (SELECT *, count(*) OVER (PARTITION BY size_bytes, lower(name), coalesce(ex
 r AS (SELECT file_id, row_number() OVER (PARTITION BY size_bytes, lower(name), lower(coalesce(ext, '')) ORDER BY {_MTIME}, lower(path_abs), file_id) AS rk FROM m WHERE cnt >= 2)
 SELECT file_id FROM r WHERE rk > 1""")
 def metadata_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keepers.metadata_prune(_files(spark, sf_dir), SCOPE.min_size, 2)
+    return keepers.metadata_prune(_files(spark, sf_dir), _scans(spark, sf_dir), SCOPE.min_size, 2)
 
 
 @query(f"SELECT file_id, path_abs, size_bytes FROM files WHERE {_ACTIVE} AND coalesce(blake3, '') = '' AND {_FILTER}")

@@ -48,30 +48,52 @@ def test_collisions_need_all_keys(make_files):
     assert ids(heads) == [1, 2, 3] and ids(both) == [1, 3]
 
 
-def test_a_path_scanned_twice_is_no_duplicate(make_files):
+@pytest.fixture
+def no_scans(make_scans):
+    return make_scans()
+
+
+def test_a_path_scanned_twice_is_no_duplicate(make_files, no_scans):
     files = make_files(row(1, sha256="s"), row(2, sha256="s", scan_run_id=2), row(3, "/r/b.pdf", sha256="s"), {**row(4, sha256="s"), "path_abs": None})
-    assert sorted((r.file_id, r["rank"], r.role) for r in keepers.prune_plan(files).collect()) == [(2, 1, "keep"), (3, 2, "remove")]
-    assert keepers.prune_plan(files.where("file_id < 3")).count() == 0
+    assert sorted((r.file_id, r["rank"], r.role) for r in keepers.prune_plan(files, no_scans).collect()) == [(2, 1, "keep"), (3, 2, "remove")]
+    assert keepers.prune_plan(files.where("file_id < 3"), no_scans).count() == 0
 
 
-def test_keepers(make_files):
+def test_keepers(make_files, no_scans):
     files = make_files(row(1, "/B", sha256="s"), row(2, "/a", sha256="s"), row(3, "/c", sha256="s", mtime_utc="garbage"), row(4, "/d", sha256="s", mtime_utc="2025-01-01T00:00:00+00:00"), row(5, "/e", sha256="t"))
-    order = lambda k: [r.file_id for r in keepers.prune_plan(files, k).orderBy("rank").collect()]
+    order = lambda k: [r.file_id for r in keepers.prune_plan(files, no_scans, k).orderBy("rank").collect()]
     assert order("oldest") == [3, 2, 1, 4]
     assert order("newest") == [4, 2, 1, 3]
     with pytest.raises(ValueError):
-        keepers.prune_plan(files, "largest")
-    stats = keepers.prune_stats(keepers.prune_plan(files)).first()
+        keepers.prune_plan(files, no_scans, "largest")
+    stats = keepers.prune_stats(keepers.prune_plan(files, no_scans)).first()
     assert stats.asDict() == {"hash_groups": 1, "groups_modified": 1, "files_considered": 3, "potential_bytes": 30}
-    left = transitions.without(files, keepers.prune_plan(files).where("role = 'remove'"))
-    assert keepers.prune_plan(left).count() == 0
-
-
-def test_metadata_modes(make_files):
+    left = transitions.without(files, keepers.prune_plan(files, no_scans).where("role = 'remove'"))
+    assert keepers.prune_plan(left, no_scans).count() == 0
+
+
+def test_no_plan_removes_a_keepers_own_path(make_files, make_scans, spark, tmp_path):
+    """Re-cased listings of one path, and a run that was registered late: its id is higher, but it started earlier."""
+    scans = make_scans({"scan_run_id": 1, "started_at": "2024-03-01T00:00:00Z"}, {"scan_run_id": 9, "started_at": "2024-02-01T00:00:00Z"})
+    files = make_files(
+        row(1, "/R/a.PDF", sha256="s", mtime_utc="2024-01-02T00:00:00Z"), row(2, "/r/A.pdf", sha256="s", scan_run_id=9), row(3, "/r/b.pdf", sha256="s", scan_run_id=9), row(4, "/r/B.PDF", sha256="t"),
+        row(5, "/x/c.pdf", sha256="s", mtime_utc="2024-01-03T00:00:00Z"),
+    )
+    plan = keepers.prune_plan(files, scans)
+    assert sorted((r.file_id, r.role) for r in plan.collect()) == [(1, "keep"), (5, "remove")]
+    assert keepers.plan_safety(plan).first().asDict() == {"kept": 1, "removed": 1, "unsafe": 0}
+    assert ids(groups.latest_per_path(files, scans)) == [1, 4, 5]
+    assert ids(groups.latest_per_path(files, make_scans())) == [2, 3, 5]
+    bad = spark.createDataFrame([(1, "/R/a", "keep"), (2, "/r/A", "remove"), (3, "/r/z", "remove"), (4, "/r/Z", "remove")], "file_id long, path_abs string, role string")
+    assert keepers.plan_safety(bad).first().unsafe == 3
+    assert ids(keepers.execute_plan(bad)) == [3, 4]
+
+
+def test_metadata_modes(make_files, no_scans):
     files = make_files(row(1, "/r/A.pdf"), row(2, "/r/x/a.PDF"), row(3, "/s/a.pdf"), row(4, "/r/b.pdf"))
     rows = lambda **x: ids(groups.metadata_rows(files, 10, 2, ["/r"], **x))
     assert rows() == [1, 2] and rows(compatible=True) == [1, 2, 3]
-    assert ids(keepers.metadata_prune(files, 10, 2)) == [2, 3]
+    assert ids(keepers.metadata_prune(files, no_scans, 10, 2)) == [2, 3]
     assert groups.metadata_wasted(groups.metadata_groups(files, 10, 2)).first()[0] == 20
 
 
@@ -217,7 +239,7 @@ def test_commands(spark, tree, tmp_path, capsys, monkeypatch):
     assert cli.main([]) == 1
 
 
-def test_blake3_duplicates_are_summed_reported_and_planned(make_files, tmp_path, monkeypatch):
+def test_blake3_duplicates_are_summed_reported_and_planned(make_files, no_scans, tmp_path, monkeypatch):
     from stratafile.functions.digests import hash_files
 
     def stand_in(candidates, wanted, *sizes, **x):
@@ -234,11 +256,11 @@ def test_blake3_duplicates_are_summed_reported_and_planned(make_files, tmp_path,
     assert (summary.first().duplicate_groups, summary.first().duplicate_files, summary.first().wasted_bytes) == (1, 2, 10)
     assert {r.file_id: r.state for r in files.collect()} == {1: "done", 2: "done", 3: "quick_hashed"}
     assert ids(groups.duplicate_report(files)) == [1, 2]
-    assert sorted((r.file_id, r.role) for r in keepers.prune_plan(files).collect()) == [(1, "keep"), (2, "remove")]
+    assert sorted((r.file_id, r.role) for r in keepers.prune_plan(files, no_scans).collect()) == [(1, "keep"), (2, "remove")]
     assert cascade.detect_duplicates(files, config, use_blake3=True)[1].first().sha256_count == 0
 
 
-def test_a_file_with_both_digests_links_them(make_files):
+def test_a_file_with_both_digests_links_them(make_files, no_scans):
     files = make_files(row(1, "/a", sha256="s"), row(2, "/b", sha256="s", blake3="b"), row(3, "/c", blake3="b"), row(4, "/d", blake3="s"), row(5, "/e", blake3=""), row(6, "/f", blake3=""))
     assert ids(groups.duplicate_report(files)) == [1, 2, 3]
-    assert ids(keepers.prune_plan(files)) == [1, 2, 3]
+    assert ids(keepers.prune_plan(files, no_scans)) == [1, 2, 3]
