@@ -99,7 +99,7 @@ def _hash_batches(wanted: frozenset[str], sample: int, chunk: int) -> Callable[[
                 try:
                     rows.append({"file_id": file_id, "outcome": "success", "message": None, **_hash_file(path, wanted, sample, chunk)})
                 except (FileNotFoundError, NotADirectoryError):
-                    rows.append({"file_id": file_id, "outcome": "missing", "message": f"Missing file: {path}"})
+                    rows.append({"file_id": file_id, "outcome": "missing", "message": f"there is no file at {path}"})
                 except (OSError, TypeError, ValueError) as e:
                     rows.append({"file_id": file_id, "outcome": "error", "message": str(e)})
             schema = pa.schema([("file_id", pa.int64()), *((n, pa.string()) for n in [*names, "outcome", "message"])])
@@ -112,12 +112,12 @@ def hash_files(candidates: DataFrame, digests: set[str], sample: int = 262_144,
     """Reads the candidates' files where they lie and gives each one's digests and outcome: success, missing or error, with a message.
 
     digests: any of quick_hash, sha256, blake3, h1 and h2, all from one pass over a file; contents are read in chunks, so a file of any size
-    takes constant memory. Candidates (file_id, path_abs, size_bytes) are dealt to tasks in the order of their size, so that the largest files
-    lie apart. blake3 needs its library on every executor.
+    takes constant memory. Candidates (file_id, path_abs, size_bytes) are put into ranges of their size, and each range is dealt to all tasks in turn,
+    so that the largest files lie apart. tasks: a few files each are best for large ones. blake3 needs its library on every executor.
     """
     if "blake3" in digests and not blake3_available():
         raise ModuleNotFoundError("blake3 digests need the blake3 library")
     spark = candidates.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = candidates.select("file_id", "path_abs").repartition(tasks, F.xxhash64("file_id"))
+    dealt = candidates.repartitionByRange(tasks, F.desc("size_bytes"), "file_id").select("file_id", "path_abs").repartition(tasks)
     return arrow_map(dealt, _hash_batches(frozenset(digests), sample, chunk), OUTCOME)

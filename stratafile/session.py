@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import io
 import json
+import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Folders of the workspaces that are open, the innermost last.
+_workspaces: list[str] = []
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='stratafile-')}")
+        own = tempfile.mkdtemp(prefix="stratafile-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -53,7 +60,19 @@ def _home(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path of this application below the shared folder."""
-    return f"{_home(spark)}/{kind}-{uuid.uuid4().hex}"
+    return f"{_workspaces[-1] if _workspaces else _home(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Everything that is settled inside goes to a folder of its own, whose path is given, and is deleted at the end. Results must be consumed, or written elsewhere, before."""
+    path = f"{_home(spark)}/work-{uuid.uuid4().hex}"
+    _workspaces.append(path)
+    try:
+        yield path
+    finally:
+        _workspaces.remove(path)
+        delete_path(spark, path)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -65,8 +84,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 def clear_shared(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; only when none of its results are needed any more."""
-    fs, path = _file(spark, _home(spark))
-    fs.delete(path, True)
+    delete_path(spark, _home(spark))
     _shipped.discard(spark.sparkContext.applicationId)
 
 
@@ -75,22 +93,54 @@ def _file(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_json(spark: SparkSession, path: str, value) -> None:
-    """A small file on the shared storage, replaced as a whole: written beside and renamed, so that a stopped job leaves the old one or the new one."""
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of the shared storage, if it is there."""
     fs, p = _file(spark, path)
-    _, beside = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    fs.delete(p, True)
+
+
+def _rename(fs, old, new) -> bool:
+    return not fs.exists(new) and fs.rename(old, new)
+
+
+def _versions(fs, folder) -> list[int]:
+    """Numbers of the whole versions of a state, rising."""
+    if not fs.exists(folder):
+        return []
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit())
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A new version of a small state on the shared storage: a folder holds each version under its number, written beside and then renamed.
+
+    No version is touched before a later one is whole, so a job that stops anywhere leaves the old state or the new one; older ones than the last
+    two are deleted afterwards. If another job has taken the number meanwhile, this one fails (FileExistsError) and its own state is not written.
+    """
+    fs, folder = _file(spark, path)
+    before = _versions(fs, folder)
+    number = before[-1] + 1 if before else 1
+    _, beside = _file(spark, f"{path}/.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(json.dumps(value).encode())
     out.close()
-    fs.delete(p, False)
-    fs.rename(beside, p)
+    if not _rename(fs, beside, _file(spark, f"{path}/{number:012d}")[1]):
+        fs.delete(beside, False)
+        raise FileExistsError(f"another job has changed {path}")
+    for old in before[:-1]:
+        fs.delete(_file(spark, f"{path}/{old:012d}")[1], False)
 
 
 def read_json(spark: SparkSession, path: str, default=None):
-    fs, p = _file(spark, path)
-    if not fs.exists(p):
+    """The last whole version of a state; default if there is none."""
+    fs, folder = _file(spark, path)
+    found = _versions(fs, folder)
+    if not found:
         return default
-    return json.loads("\n".join(r.value for r in spark.read.text(p.toString()).collect()))
+    data = fs.open(_file(spark, f"{path}/{found[-1]:012d}")[1])
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8"))
+    finally:
+        data.close()
 
 
 def ship(spark: SparkSession) -> None:
@@ -102,7 +152,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for file in sorted(home.rglob("*.py")):
             z.write(file, file.relative_to(home.parent))
-    fs, path = _file(spark, f"{shared_path(spark, 'code')}/{home.name}.zip")
+    fs, path = _file(spark, f"{_home(spark)}/code-{uuid.uuid4().hex}/{home.name}.zip")
     out = fs.create(path)
     out.write(packed.getvalue())
     out.close()

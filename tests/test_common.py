@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stratafile.operators.common import hot_keys, lookup_join, small_join, take
+from stratafile import session
+from stratafile.operators.common import hot_keys, is_small, lookup_join, small_join, spread_join, take
 
 
 @pytest.fixture(scope="module")
@@ -32,3 +33,53 @@ def test_take_prefers_exact_names(spark):
     assert take(df.select("b"), "B").columns == ["B"]
     with pytest.raises(ValueError):
         take(df, "c")
+
+
+def test_bytes_count_as_well_as_rows(spark):
+    t = spark.createDataFrame([(1, "x" * 1000, [1, 2]), (2, None, None)], "k long, s string, a array<int>")
+    assert is_small(t) and not is_small(t, most=1) and not is_small(t, most_bytes=1000)
+    assert is_small(t.limit(0), 0, 0)
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_joins_of_keys_that_repeat_on_both_sides(spark, sides, most):
+    rows, table = sides
+    table = table.union(table.select("k", F.col("v") + 1)).where("k < 40")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        want = sorted(map(tuple, rows.join(table, "k").select("k", "id", "v").collect()))
+        assert sorted(map(tuple, spread_join(rows, table, ["k"], most).select("k", "id", "v").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_state_survives_a_stop_at_any_step(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "STATE.json")
+    assert session.read_json(spark, path, "none") == "none"
+    for k in range(5):
+        session.write_json(spark, path, {"n": k, "s": "ü"})
+    assert session.read_json(spark, path) == {"n": 4, "s": "ü"} and len([p for p in (tmp_path / "STATE.json").iterdir() if p.name.isdigit()]) == 2
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(session, "_rename", stop)
+        with pytest.raises(KeyboardInterrupt):
+            session.write_json(spark, path, "lost")
+    assert session.read_json(spark, path) == {"n": 4, "s": "ü"}
+    with monkeypatch.context() as m:
+        m.setattr(session, "_versions", lambda *_: [3])  # another job has written version 4 meanwhile
+        with pytest.raises(FileExistsError):
+            session.write_json(spark, path, "late")
+    assert session.read_json(spark, path) == {"n": 4, "s": "ü"}
+    session.write_json(spark, path, 6)
+    assert session.read_json(spark, path) == 6
+
+
+def test_a_workspace_leaves_nothing(spark):
+    with session.workspace(spark) as path:
+        df = session.settled(spark.range(5))
+        assert df.count() == 5 and df.inputFiles()[0].count(path.rsplit("/", 1)[1])
+    fs, p = session._file(spark, path)
+    assert not fs.exists(p)
