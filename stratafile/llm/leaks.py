@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +13,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.common import take
+from ..operators.common import small_join, spread_join, take
 from ..session import arrow_map, settled, ship
 
 #: Words that must agree in a row.
 WORDS = 13
-#: Characters of all items together up to which their n-grams are broadcast; beyond, they meet the texts by shuffle.
-BROADCAST_CHARS = 20_000_000
+#: Bytes of the items' n-gram hashes that are broadcast at once, 8 each; more are taken in blocks. Rows that a worker gives at once.
+BLOCK_BYTES, AT_ONCE = 64_000_000, 10_000
 
 _FORMAT, _WORD, _ASCII_WORD = regex.compile(r"\p{Cf}+"), regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"[a-z0-9]+")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -54,131 +54,151 @@ def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
         return out ^ (out >> np.uint64(31))
 
 
-class Grams:
-    """The n-grams of all items: a sorted array of hashes to scan with, and what each n-gram stands in, to verify with."""
-
-    def __init__(self, items: list[tuple[int, str | None]], n: int):
-        self.n, self.number, self.items = n, {}, defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            for w in words:
-                self.number.setdefault(w, len(self.number) + 1)
-            for i in range(len(words) - n + 1):
-                self.items[tuple(words[i : i + n])].add(item)
-        numbers = np.array([[self.number[w] for w in g] for g in self.items], np.uint64).reshape(-1, n)
-        self.hashes = np.unique(np.concatenate([window_hashes(row, n) for row in numbers])) if len(numbers) else np.zeros(0, np.uint64)
-
-    def hits(self, words: list[str]) -> list[tuple[int, set]]:
-        """Starts of the windows that are an item's words, with the items."""
-        if len(words) < self.n or not len(self.hashes):
-            return []
-        number = self.number.get
-        h = window_hashes(np.fromiter((number(w, 0) for w in words), np.uint64, len(words)), self.n)
-        at = np.searchsorted(self.hashes, h)
-        at[at == len(self.hashes)] = 0
-        return [(i, items) for i in np.flatnonzero(self.hashes[at] == h).tolist() if (items := self.items.get(tuple(words[i : i + self.n])))]
-
-
-def _pairs(grams) -> object:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g: Grams = grams.value
-        for batch in batches:
-            docs, items = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for item in {x for _, found in g.hits(words_of(text)) for x in found}:
-                    docs.append(doc), items.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
+class WordHashes(dict):
+    """64-bit hashes of words, remembered; they need no shared vocabulary. What is remembered has a bound."""
 
-    return run
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = h
+        return h
+
+    def windows(self, words: list[str], n: int) -> np.ndarray:
+        return window_hashes(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)), n)
 
 
-def _windows(n: int):
-    """Hash of every window of a text; words are hashed, not numbered, so both tables agree without a shared vocabulary."""
+_GRAM = "h long, gram string"
+
+
+def _item_grams(n: int):
+    """Every window of an item's words, with its hash; a gram is its words joined by blanks, which no word holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
         for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 words = words_of(text)
-                h = np.unique(window_hashes(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)), n))
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), row))], names=["h", "row"])
+                h = memo.windows(words, n).view(np.int64)
+                for start in range(0, len(h), AT_ONCE):
+                    part = h[start : start + AT_ONCE]
+                    grams = [" ".join(words[i : i + n]) for i in range(start, start + len(part))]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(grams, pa.string()), pa.array([item] * len(part), pa.int64())], names=["h", "gram", "item_id"])
 
     return run
 
 
-def _verify(n: int):
+def item_grams(benchmark: DataFrame, words: int) -> DataFrame:
+    """h, gram and item_id of the windows of all items, once each, settled."""
+    items = take(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    return settled(arrow_map(items, _item_grams(words), f"{_GRAM}, item_id long").distinct())
+
+
+def _stretches(text: str) -> tuple[list[str], list[str], list[int]]:
+    """A text's parts (white space and what is between it), its words, and the part that each word is in."""
+    parts = regex.split(r"([ \t\r\n]+)", text)
+    words, part_of = [], []
+    for i, part in enumerate(parts):
+        for w in words_of(part):
+            words.append(w), part_of.append(i)
+    return parts, words, part_of
+
+
+def _scan(known, n: int, places: bool):
+    """Windows of texts whose hash is among the known ones: of each text (key) each distinct gram, or with places every one and its first word's number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, memo = np.frombuffer(known.value, np.uint64), WordHashes()
         for batch in batches:
-            keep = []
-            for item, text in zip(batch.column("item_text").to_pylist(), batch.column("text").to_pylist()):
-                keep.append(bool(Grams([(0, item)], n).hits(words_of(text))))
-            yield batch.select(["doc_id", "item_id"]).filter(pa.array(keep, pa.bool_()))
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
+                words = _stretches(text)[1] if places else words_of(text)
+                h = memo.windows(words, n)
+                if not len(h):
+                    continue
+                at = np.searchsorted(hashes, h)
+                at[at == len(hashes)] = 0
+                hit = np.flatnonzero(hashes[at] == h)
+                if not places and len(hit):
+                    hit = hit[np.unique(h[hit], return_index=True)[1]]
+                for start in range(0, len(hit), AT_ONCE):
+                    part = hit[start : start + AT_ONCE]
+                    columns = [pa.array([key] * len(part), pa.int64()), pa.array(h[part].view(np.int64)), pa.array([" ".join(words[i : i + n]) for i in part.tolist()], pa.string())]
+                    names = ["key", "h", "gram"]
+                    if places:
+                        columns.append(pa.array(part.astype(np.int32)))
+                        names.append("place")
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _by_shuffle(texts: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same pairs where the items are too many to broadcast: windows meet n-grams by their hash, then each pair's texts are compared."""
-    texts = settled(texts.withColumn("row", F.monotonically_increasing_id()))
-    items = settled(items.withColumn("row", F.monotonically_increasing_id()))
-    grams = arrow_map(items, _windows(n), "h long, row long").withColumnRenamed("row", "item_row")
-    windows = arrow_map(texts, _windows(n), "h long, row long")
-    pairs = windows.join(grams, "h").select("row", "item_row").distinct()
-    asked = items.select(F.col("row").alias("item_row"), "item_id", F.col("text").alias("item_text"))
-    both = pairs.join(texts, "row").join(asked, "item_row").select("doc_id", "item_id", "item_text", "text")
-    return arrow_map(both, _verify(n), "doc_id long, item_id long").distinct()
+def hits(texts: DataFrame, grams: DataFrame, words: int, block_bytes: int, places: bool = False) -> DataFrame:
+    """Windows of texts (key, text) whose hash is that of a gram: key, h, gram, and with places the place; settled. Equal hashes of other words are still among them.
 
-
-def leaked_items(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    The distinct hashes go to the workers as one sorted array of 8 bytes each, if that is within block_bytes, else in as many blocks, split by hash,
+    the texts being scanned once for each. So no window is shuffled before it is known to be a likely hit, and what is broadcast has a bound at any size.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    hashes = settled(grams.select("h").distinct())
+    blocks = max(1, math.ceil(8 * hashes.count() / max(8, block_bytes)))
+    schema = f"key long, {_GRAM}" + ", place int" * places
+    out = None
+    for k in range(blocks):
+        own = hashes.where(F.pmod(F.col("h"), F.lit(blocks)) == k) if blocks > 1 else hashes
+        known = np.sort(own.toArrow().column("h").to_numpy().view(np.uint64))
+        if not len(known):
+            continue
+        shared = spark.sparkContext.broadcast(known.tobytes())
+        found = settled(arrow_map(texts, _scan(shared, words, places), schema))
+        shared.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
+def leaked_items(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and item_id of every document that holds at least `words` consecutive words of an item, once each.
 
-    Words are the maximal runs of letters and digits after NFKC, removal of format characters and lower-casing. Items with
-    fewer words can't leak; NULL and empty texts neither match nor are matched; an empty table gives no rows.
+    Words are the maximal runs of letters and digits after NFKC, removal of format characters and lower-casing, of whole texts of any length. Items with
+    fewer words can't leak; NULL and empty texts neither match nor are matched, nor do items without an id; an empty table gives no rows.
 
-    The items' length is summed first. Up to broadcast_chars their n-grams go to every worker as sorted hashes; each
-    text's windows are hashed in one vector pass, looked up, and every hit is verified word by word: one scan, and
-    no shuffle but that of the found pairs. Beyond it windows and n-grams meet by shuffle, with the same result.
+    Hashes of the items' n-grams are broadcast (hits), each text's windows are hashed in one vector pass and looked up, and every hit is verified by
+    joining its words to the items' n-grams; an n-gram that very many documents or items hold is spread (spread_join).
     """
-    items = take(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    texts = take(documents, "doc_id", "text").where(F.length("text") > 2 * words - 2)
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
-        return _by_shuffle(texts, items, words)
-    ship(texts.sparkSession)
-    grams = texts.sparkSession.sparkContext.broadcast(Grams([tuple(r) for r in items.collect()], words))
-    return arrow_map(texts, _pairs(grams), "doc_id long, item_id long").distinct()
+    grams = item_grams(benchmark, words)
+    texts = take(documents, "doc_id", "text").where(F.col("text").isNotNull()).withColumnRenamed("doc_id", "key")
+    pairs = spread_join(hits(texts, grams, words, block_bytes), grams, ["h", "gram"])
+    return pairs.select(F.col("key").alias("doc_id"), "item_id").distinct()
 
 
-def _cut(text: str, grams: Grams) -> str:
-    """A text without the passages that stand in items; taken out are whole stretches between white space."""
-    parts = regex.split(r"([ \t\r\n]+)", text)
-    words, part_of = [], []
-    for i, part in enumerate(parts):
-        for w in words_of(part):
-            words.append(w), part_of.append(i)
+def _cut(text: str, places: list[int], n: int) -> str:
+    """A text without the windows that start at these words; taken out are whole stretches between white space."""
+    parts, _, part_of = _stretches(text)
     gone: set[int] = set()
-    for i, _ in grams.hits(words):
-        gone.update(range(part_of[i], part_of[i + grams.n - 1] + 1))
+    for i in places:
+        gone.update(range(part_of[i], part_of[i + n - 1] + 1))
     return "".join(p for i, p in enumerate(parts) if i not in gone)
 
 
-def _cleaned(grams) -> object:
+def _cleaned(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g: Grams = grams.value
         for batch in batches:
-            out = [t and (_cut(t, g) if g.hits(words_of(t)) else t) for t in batch.column("text").to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
+            out = [_cut(t, places, n) if places else t for t, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     return run
 
 
-def without_leaks(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """doc_id and text of every document, with the passages that leaked taken out (whole stretches between white space). Other texts, NULL and empty included, stay as they are.
+def without_leaks(documents: DataFrame, benchmark: DataFrame, words: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id and text of every document, with the passages that leaked taken out (whole stretches between white space). Other texts, NULL and empty included, stay as they are; rows with one doc_id stay apart.
 
-    Items longer together than broadcast_chars are refused here: drop the documents found by leaked_items instead.
+    Hits are found and verified as by leaked_items. The places of a text's hits, no more than it has words, go back to its row; they are broadcast
+    if they are few.
     """
-    items = take(benchmark, "item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > broadcast_chars:
-        raise ValueError("the items are too long to broadcast; drop the documents that leaked_items finds")
-    ship(documents.sparkSession)
-    grams = documents.sparkSession.sparkContext.broadcast(Grams([tuple(r) for r in items.collect()], words))
-    return arrow_map(take(documents, "doc_id", "text"), _cleaned(grams), "doc_id long, text string")
+    grams = item_grams(benchmark, words)
+    rows = settled(take(documents, "doc_id", "text").withColumn("key", F.monotonically_increasing_id()))
+    found = hits(rows.where(F.col("text").isNotNull()).select("key", "text"), grams, words, block_bytes, places=True)
+    true = small_join(found, grams.select("h", "gram").distinct(), ["h", "gram"])
+    places = settled(true.groupBy("key").agg(F.collect_set("place").alias("places")))
+    return arrow_map(small_join(rows, places, ["key"], "left").select("doc_id", "text", "places"), _cleaned(words), "doc_id long, text string")
