@@ -125,9 +125,9 @@ def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]])
     """Ids of a whole text from its chunks in order, each with its own ids, and its pretokens' lengths and numbers of ids.
 
     A chunk's pretokens hold in the whole text up to the last end that AHEAD characters follow. From there the
-    join is encoded anew over a window that grows into the next chunk, until one of the window's settled
-    ends is also an end in that chunk: as no pattern looks back, both go on alike from there. A chunk
-    without such an end becomes part of the window.
+    join is encoded anew over a window that reaches beyond the chunk and grows fourfold, over as many chunks as it takes, until one of its settled
+    ends is also an end in the chunk that it falls into: as no pattern looks back, both go on alike from there. All
+    windows before the last are together a third of it, so the work is linear in the text, also where it has no such end at all.
     """
     out: list[np.ndarray] = []
     k, begin = 0, 0  # the chunk, and the end (in characters) from which its own pretokens hold
@@ -142,28 +142,33 @@ def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]])
         keep = max(begin, int(ends[last]) if last >= 0 else 0)
         if keep > begin:
             out.append(ids[first : int(upto[last])])
-        tail, agreed = text[keep:], False
-        while not agreed:
-            k += 1
-            following, _, theirs, _ = pieces[k]
-            bounds, reach = {0, *np.cumsum(theirs).tolist()}, 32
-            while True:
-                window = tail + following[:reach]
-                whole = k == len(pieces) - 1 and reach >= len(following)
-                w_ids, w_chars, w_counts = encode_parts(t, [window])[0]
-                if whole:
-                    out.append(w_ids)
-                    return np.concatenate(out)
-                for e, u in zip(np.cumsum(w_chars).tolist(), np.cumsum(w_counts).tolist()):
-                    if e >= len(tail) and e + AHEAD <= len(window) and e - len(tail) in bounds:
-                        out.append(w_ids[:u])
-                        begin, agreed = e - len(tail), True
-                        break
-                if agreed or reach >= len(following):
-                    break
-                reach *= 2
-            if not agreed:
-                tail += following
+        tail = len(text) - keep
+        # the chunks that the window has taken up, where each starts in it, and all the ends in them, as they are found there
+        taken, joined, starts, bounds = [text[keep:]], tail, [], []
+        reach = tail + 32
+        while True:
+            while joined < reach and k + 1 + len(starts) < len(pieces):
+                following, _, theirs, _ = pieces[k + 1 + len(starts)]
+                starts.append(joined)
+                bounds.append(np.cumsum(theirs, dtype=np.int64) + joined)
+                taken.append(following)
+                joined += len(following)
+            window = "".join(taken)
+            taken = [window]
+            w_ids, w_chars, w_counts = encode_parts(t, [window[:reach]])[0]
+            if reach >= joined and k + 1 + len(starts) == len(pieces):
+                out.append(w_ids)
+                return np.concatenate(out)
+            w_ends = np.cumsum(w_chars, dtype=np.int64)
+            settled_ends = w_ends[(w_ends >= tail) & (w_ends + AHEAD <= min(reach, joined))]
+            agreed = settled_ends[np.isin(settled_ends, np.concatenate([starts, *bounds]))]
+            if len(agreed):
+                e = int(agreed[0])
+                out.append(w_ids[: int(np.cumsum(w_counts)[np.searchsorted(w_ends, e)])])
+                here = int(np.searchsorted(starts, e, "right")) - 1
+                k, begin = k + 1 + here, e - starts[here]
+                break
+            reach *= 4
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 

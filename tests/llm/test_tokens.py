@@ -1,4 +1,5 @@
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -55,6 +56,24 @@ def test_hard_texts_in_small_chunks(text):
         assert joined(text, [*range(size, len(text), size), len(text)]) == plain([text])[0]
 
 
+@pytest.mark.parametrize("kind", ["equal", "letters", "digits"])
+def test_long_unbroken_texts_take_linear_time(kind):
+    """A megabyte without any pretoken end but its own, and a fourth of it: the joins of the whole take little more than four times as long."""
+    rng = random.Random(7)
+    text = "a" * 1_000_000 if kind == "equal" else "".join(rng.choices("abcdefghij" if kind == "letters" else "0123456789", k=1_000_000))
+    took = []
+    for part in (text[:250_000], text):
+        ends = tokens.cut_points(part)
+        chunks = [part[a:b] for a, b in zip([0, *ends], ends)]
+        t = tokens.load("byte_bpe_50k")
+        pieces = [(c, *p) for c, p in zip(chunks, tokens.encode_parts(t, chunks))]
+        began = time.process_time()
+        ids = tokens.join_chunks(t, pieces)
+        took.append(time.process_time() - began)
+        assert ids.tolist() == plain([part])[0]
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(0)
     passage = "".join(chr(97 + c) for c in rng.integers(0, 26, 5000))
