@@ -15,7 +15,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files are the history; intake is delivered against it."""
     index = history.HistoryIndex(spark)
     index.append(table(spark, sf_dir, "files"))
-    return index.deliver(table(spark, sf_dir, "intake"))
+    found = index.deliver(table(spark, sf_dir, "intake"))
+    index.drop()
+    return found
+
+
+def p2_by_delivery(spark: SparkSession, sf_dir: str, deliveries: int = 6) -> DataFrame:
+    """The same, intake being delivered in turn: each delivery holds an equal span of batches, and meets those before it in the index."""
+    index, intake = history.HistoryIndex(spark), table(spark, sf_dir, "intake")
+    index.append(table(spark, sf_dir, "files"))
+    first, last = intake.agg(F.min("batch_id"), F.max("batch_id")).first()
+    found = index.deliver(intake.where(F.col("batch_id").isNull()))
+    if first is not None:
+        span = -(-(last - first + 1) // deliveries)
+        for at in range(first, last + 1, span):
+            found = found.unionByName(index.deliver(intake.where(F.col("batch_id").between(at, at + span - 1))))
+    index.drop()
+    return found
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +80,7 @@ def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p2_by_delivery": p2_by_delivery,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_after_intake": p4_after_intake,
@@ -123,3 +140,4 @@ SELECT sha256, file_id FROM r WHERE n > 1 AND k = 1""",
         "SELECT ext, state, error_code, file_id AS rid FROM files WHERE state IS DISTINCT FROM 'error' UNION ALL SELECT ext, state, error_code, file_id FROM intake"
     ),
 }
+SQL["p2_by_delivery"] = SQL["p2_found"]

@@ -1,7 +1,9 @@
+import os
 import random
 
 import pytest
 
+from stratafile.llm import history
 from stratafile.llm.history import HistoryIndex
 
 SHA = [f"{i:02x}" * 32 for i in range(1, 40)]
@@ -61,14 +63,17 @@ def test_batch_after_batch_equals_all_at_once(spark, make_files, deliveries):
     pick = lambda values: rng.choice([None, "", *values[:12]])
     rows = [row(i, SHA[0] if rng.random() < 0.3 else pick(SHA), pick(QUICK), rng.choice([0, 5, 6]), rng.choice([None, ".A", ".a "]), rng.choice(["done", "error", "Done"])) for i in range(240)]
     history, batch = rows[:120], rows[120:]
-    index = HistoryIndex(spark, most_segments=2)
+    index = HistoryIndex(spark, merged=2, least_rows=20)
     index.append(make_files(*history))
     size, got = len(batch) // deliveries, []
     for k in range(deliveries):
         got += found(index.deliver(make_files(*batch[k * size : (k + 1) * size])))
     assert sorted(got) == brute(history, batch)
-    assert len(index.segments) <= 3
+    assert len(index.segments) <= 4
+    at = index.path.removeprefix("file:")
+    assert os.path.exists(at)
     index.drop()
+    assert not os.path.exists(at)
 
 
 def test_a_hot_digest_is_broadcast(spark, make_files):
@@ -94,7 +99,7 @@ def test_empty_tables_long_texts_and_clashing_columns(spark, make_files):
     index.append(make_files())
     assert found(index.deliver(make_files())) == []
     batch = make_files(row(1, SHA[0], "x" * 100_000, ext="y" * 100_000), row(2, SHA[0]), row(None, SHA[0]), row(2, SHA[0]))
-    clash = batch.selectExpr("*", "'a' AS SHA256", "1 AS token", "2 AS length", "3 AS first_id")
+    clash = batch.selectExpr("*", "'a' AS SHA256", "1 AS token", "2 AS length", "3 AS first_id", "4 AS digest")
     assert set(found(index.deliver(clash))) == {(1, 2, "exact")}
 
 
@@ -104,9 +109,52 @@ def test_an_index_is_taken_up_again(spark, make_files, tmp_path):
     first.append(make_files(row(1, SHA[0])))
     first.append(make_files(row(2, SHA[1])))
     for name in first.segments:
-        spark.sql(f"DROP TABLE {name}")  # as in a new session
+        spark.sql(f"DROP TABLE {name['name']}")  # as in a new session
     again = HistoryIndex(spark, path)
-    assert again.buckets == 3 and len(again.segments) == 2
+    assert again.state["buckets"] == 3 and len(again.segments) == 2
     assert found(again.deliver(make_files(row(5, SHA[1]), row(6, SHA[0])))) == [(1, 6, "exact"), (2, 5, "exact")]
     plan = again.probe(make_files(row(7, SHA[0])))
     assert found(plan) == [(1, 7, "exact")]
+
+
+def test_the_rarest_token_is_the_prefix(spark, monkeypatch):
+    """A quick hash of most records is commoner than some sizes; a size that most share never is the prefix."""
+    monkeypatch.setattr(history, "COMMON", 5)
+    rows = [("qa", i, ".x") for i in range(50)] + [(f"q{i}", 7, ".x") for i in range(50)] + [("s1", -1, "")]
+    records = spark.createDataFrame(rows, "digest string, length long, ext string")
+    common = {r.token: r.df for r in history.common_tokens(records).collect()}
+    assert common == {"qa": 50, "z7": 51, "e.x": 100}
+    got = {(r.digest, r.length): r.token for r in history.with_prefix(records, history.common_tokens(records)).collect()}
+    assert got["qa", 3] == "z3" and got["qa", 7] == "qa" and got["q9", 7] == "q9" and got["s1", -1] == "s1"
+    assert {r.token for r in history.with_prefix(records, None).collect()} == {d for d, _, _ in rows}
+
+
+def test_rarity_changes_as_the_index_grows(spark, make_files, monkeypatch):
+    monkeypatch.setattr(history, "COMMON", 4)
+    rng = random.Random(9)
+    rows = [row(i, None, QUICK[0] if rng.random() < i / 200 else rng.choice(QUICK), rng.randrange(1, 6), rng.choice([".a", ".b"])) for i in range(200)]
+    index = HistoryIndex(spark, least_rows=5)
+    got, sizes = [], []
+    for start in (0, 10, 20, 60, 100):
+        end = {0: 10, 10: 20, 20: 60, 60: 100, 100: 200}[start]
+        got += found(index.deliver(make_files(*rows[start:end])))
+        sizes.append(index.state["ordered_at"])
+    assert sorted(got) == brute([], rows) and sizes[-1] > sizes[0]
+    index.drop()
+
+
+def test_retracted_rows_no_longer_match(spark, make_files):
+    history_rows = [row(1, SHA[0], QUICK[0]), row(2, SHA[0], QUICK[0]), row(3, SHA[1], QUICK[1]), row(4, SHA[2]), *(row(10 + i, SHA[3]) for i in range(5))]
+    gone, left = [r for r in history_rows if r["file_id"] in (1, 3, 10)], [r for r in history_rows if r["file_id"] not in (1, 3, 10)]
+    batch = [row(100 + i, SHA[i], QUICK[i]) for i in range(4)]
+    index = HistoryIndex(spark, merged=3, least_rows=1)
+    index.append(make_files(*history_rows))
+    index.retract(make_files(*gone), make_files(*left))
+    assert found(index.probe(make_files(*batch))) == brute(left, batch)
+    index.append(make_files(row(50, SHA[1])))
+    assert (50, 101, "exact") in found(index.probe(make_files(*batch)))
+    for k in range(4):  # merged with what was retracted
+        index.append(make_files(row(60 + k, SHA[9 + k])))
+    again = HistoryIndex(spark, index.path)
+    assert found(again.probe(make_files(*batch))) == brute([*left, row(50, SHA[1])], batch)
+    index.drop()
