@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import code
 from ..operators.common import take
-from ..session import read_json, shared_path, write_json
+from ..session import delete_path, read_json, shared_path, write_json
 
 #: The field under which the store counts records themselves.
 ALL = "*"
+#: Segments of one tier that are merged, and the growth of a tier; counts of the smallest tier.
+MERGED, LEAST_ROWS = 4, 100_000
+
+_COUNTS = "val string, occ long, recs long, field string"
 
 
 _TERM = "array<struct<field:string,val:string,occ:bigint>>"
@@ -64,30 +71,65 @@ def term_deltas(added: DataFrame | None, removed: DataFrame | None, values: list
 
 
 class TermCounts:
-    """Counts that persist between deliveries: versions of field, val, occ, recs below a shared folder, partitioned by field.
+    """Counts that persist between deliveries: segments of field, val, occ, recs below a shared folder, partitioned by field.
 
-    apply() merges signed changes into a new version and then switches to it; a lost executor or a stopped
-    job leaves the last version whole. With the path of counts that are there already, it goes on from them.
+    apply() writes the signed changes of a delivery as a segment and then switches to it; segments of one tier of size are merged as soon as there are
+    MERGED of them, so what a delivery writes follows its own size, and a count is written anew a logarithmic number of times. The counts
+    are the sums over the few segments. A lost executor or a stopped job leaves the last state whole. With the path of counts that are there
+    already, it goes on from them. Read what counts() and marked() give before the next apply(): merged segments are deleted.
     """
 
-    def __init__(self, spark: SparkSession, values: list[str], term_lists: list[str], path: str | None = None):
-        self.spark, self.values, self.term_lists = spark, values, term_lists
+    def __init__(self, spark: SparkSession, values: list[str], term_lists: list[str], path: str | None = None, least_rows: int = LEAST_ROWS):
+        self.spark, self.values, self.term_lists, self.least_rows = spark, values, term_lists, least_rows
         self.path = (path or shared_path(spark, "terms")).rstrip("/")
-        self.version = read_json(spark, f"{self.path}/VERSION.json", 0)
+        self.state = read_json(spark, f"{self.path}/COUNTS.json") or {"segments": [], "deliveries": []}
+
+    def _sum(self, segments: list[dict]) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], _COUNTS)
+        rows = self.spark.read.schema(_COUNTS).parquet(f"{self.path}/{segments[0]['name']}")
+        for s in segments[1:]:
+            rows = rows.unionByName(self.spark.read.schema(_COUNTS).parquet(f"{self.path}/{s['name']}"))
+        if len(segments) == 1:
+            return rows
+        return rows.groupBy("field", "val").agg(F.sum("occ").alias("occ"), F.sum("recs").alias("recs")).where((F.col("occ") != 0) | (F.col("recs") != 0))
 
     def counts(self) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], "val string, occ long, recs long, field string")
-        return self.spark.read.schema("val string, occ long, recs long, field string").parquet(f"{self.path}/v{self.version}")
-
-    def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None) -> None:
-        deltas = term_deltas(added, removed, self.values, self.term_lists)
-        if self.version:
-            deltas = deltas.unionByName(self.counts()).groupBy("field", "val").agg(F.sum("occ").alias("occ"), F.sum("recs").alias("recs")).where((F.col("occ") != 0) | (F.col("recs") != 0))
-        # a version that a stopped job has left unfinished is written over
-        deltas.write.partitionBy("field").mode("overwrite").parquet(f"{self.path}/v{self.version + 1}")
-        write_json(self.spark, f"{self.path}/VERSION.json", self.version + 1)
-        self.version += 1
+        return self._sum(self.state["segments"])
+
+    def _write(self, rows: DataFrame) -> dict:
+        name = f"s-{uuid.uuid4().hex}"
+        rows.select("val", "occ", "recs", "field").write.partitionBy("field").parquet(f"{self.path}/{name}")
+        return {"name": name, "rows": self.spark.read.schema(_COUNTS).parquet(f"{self.path}/{name}").count()}
+
+    def _switch(self, segments: list[dict], deliveries: list[str]) -> None:
+        new = {"segments": segments, "deliveries": deliveries}
+        write_json(self.spark, f"{self.path}/COUNTS.json", new)
+        old, self.state = self.state, new
+        for s in old["segments"]:
+            if s not in segments:
+                delete_path(self.spark, f"{self.path}/{s['name']}")
+
+    def apply(self, added: DataFrame | None = None, removed: DataFrame | None = None, delivery: str | None = None) -> bool:
+        """Merges the signed changes into the counts. delivery: a name; one that has been applied already changes nothing, and False is given. Names are kept, some bytes each."""
+        if delivery is not None and delivery in self.state["deliveries"]:
+            return False
+        one = self._write(term_deltas(added, removed, self.values, self.term_lists))
+        self._switch([*self.state["segments"], *([one] if one["rows"] else [])], [*self.state["deliveries"], *([delivery] if delivery is not None else [])])
+        while True:
+            tiers: dict[int, list[dict]] = {}
+            for s in self.state["segments"]:
+                tiers.setdefault(int(math.log(max(s["rows"], self.least_rows) / self.least_rows, MERGED)), []).append(s)
+            full = next((t for t in tiers.values() if len(t) >= MERGED), None)
+            if full is None:
+                return True
+            one = self._write(self._sum(full))
+            self._switch([*(s for s in self.state["segments"] if s not in full), *([one] if one["rows"] else [])], self.state["deliveries"])
+
+    def drop(self) -> None:
+        """Deletes the counts."""
+        delete_path(self.spark, self.path)
+        self.state = {"segments": [], "deliveries": []}
 
     def marked(self, rare_under: int = 6, common_over_percent: int = 10) -> DataFrame:
         """field, val, occ, recs and mark: rare (fewer occurrences than rare_under), else common (in more than so many percent of all records), else mid."""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import instant_micros
 from ..functions.text import is_active, path_key, valid_sha256
-from ..operators.common import small_join, take
-from ..session import settled
+from ..operators.common import take
+from ..operators.groups import latest_per_path
 
 
 def top_of_group(rows: DataFrame, keys: list[str], order: list[Column], least: int = 1) -> DataFrame:
@@ -29,19 +29,17 @@ def latest_listings(files: DataFrame, scans: DataFrame) -> DataFrame:
 
     Runs that start at one time count by id; a run that isn't in scans or whose start is unreadable comes first.
     """
-    runs = take(scans, "scan_run_id", "started_at").where(F.col("scan_run_id").isNotNull())
-    runs = settled(runs.groupBy("scan_run_id").agg(F.max(instant_micros("started_at")).alias("run_at")))
     rows = take(files, "file_id", "scan_run_id", "path_abs", "sha256", "size_bytes", "mtime_utc", "state", "last_seen_at")
     seen, mtime = instant_micros("last_seen_at"), instant_micros("mtime_utc")
     rows = rows.where(F.col("path_abs").isNotNull()).select(
         "file_id",
         "scan_run_id",
-        path_key("path_abs").alias("path_key"),
+        path_key("path_abs").alias("path_abs"),
         F.when(is_active("state") & (F.col("size_bytes") > 0), valid_sha256("sha256")).alias("sha256"),
         F.when(mtime <= seen, mtime).alias("trusted"),
     )
-    latest = [F.desc_nulls_last("run_at"), F.desc_nulls_last("scan_run_id"), F.desc_nulls_last("file_id"), F.desc_nulls_last("sha256"), F.desc_nulls_last("trusted")]
-    return top_of_group(small_join(rows, runs, ["scan_run_id"], "left"), ["path_key"], latest)
+    latest = latest_per_path(rows, scans, [F.desc_nulls_last("sha256"), F.desc_nulls_last("trusted")])
+    return latest.where(F.col("path_abs").isNotNull()).withColumnRenamed("path_abs", "path_key")
 
 
 def copies_to_keep(files: DataFrame, scans: DataFrame) -> DataFrame:

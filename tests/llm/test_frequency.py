@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from stratafile.llm.frequency import ALL, TermCounts
+from stratafile.llm.frequency import ALL, MERGED, TermCounts
 
 
 def row(i, ext=None, state=None, code=None):
@@ -69,4 +69,27 @@ def test_counts_are_taken_up_again(spark, make_files, tmp_path):
     at = lambda: TermCounts(spark, ["ext", "state"], ["error_code"], str(tmp_path / "terms"))
     at().apply(added=make_files(*rows))
     at().apply(added=make_files(*more))
-    assert at().version == 2 and found(at()) == brute(rows + more)
+    assert len(at().state["segments"]) == 2 and found(at()) == brute(rows + more)
+    at().drop()
+    assert found(at()) == [] and not (tmp_path / "terms").exists()
+
+
+def test_a_delivery_counts_once_and_writes_what_it_changes(spark, make_files, tmp_path):
+    rng = random.Random(4)
+    c = TermCounts(spark, ["ext", "state"], ["error_code"], str(tmp_path / "terms"), least_rows=8)
+    size = lambda: {p: p.stat().st_size for p in (tmp_path / "terms").rglob("*.parquet")}
+    rows = []
+    for k in range(9):
+        new = some(rng, 30)
+        assert c.apply(added=make_files(*new), delivery=f"d{k}")
+        assert not c.apply(added=make_files(*new), delivery=f"d{k}")
+        rows += new
+        assert found(c) == brute(rows) and len(c.state["segments"]) < 2 * MERGED
+    large = [row(i, f".{i}", "s") for i in range(4000)]
+    c = TermCounts(spark, ["ext", "state"], ["error_code"], str(tmp_path / "terms"))
+    c.apply(added=make_files(*large), delivery="large")
+    before = size()
+    c.apply(added=make_files(row(1, ".new", "s")), delivery="small")
+    written = {p: n for p, n in size().items() if p not in before}
+    assert len(before.keys() - size().keys()) == 0 and sum(written.values()) < 0.2 * sum(before.values())
+    assert found(c) == brute([*rows, *large, row(1, ".new", "s")])
