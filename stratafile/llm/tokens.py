@@ -18,7 +18,7 @@ from ..session import arrow_map, settled
 #: The folder of the tokenizers' files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 #: Characters of a chunk: at least, on average beyond that, at most.
-LEAST, MEAN, MOST = 64, 192, 4096
+LEAST, MEAN, MOST = 256, 1024, 4096
 #: A pretoken is settled once so many characters after its end are known: none of the tokenizer's patterns looks further.
 AHEAD = 3
 
@@ -161,9 +161,11 @@ def join_chunks(t, pieces: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]])
                 return np.concatenate(out)
             w_ends = np.cumsum(w_chars, dtype=np.int64)
             settled_ends = w_ends[(w_ends >= tail) & (w_ends + AHEAD <= min(reach, joined))]
-            agreed = settled_ends[np.isin(settled_ends, np.concatenate([starts, *bounds]))]
-            if len(agreed):
-                e = int(agreed[0])
+            # both rise; a start is the end of the chunk before it, so the ends after the first start are all
+            theirs_ends = np.concatenate([starts[:1], *bounds])
+            agreed = theirs_ends[np.minimum(np.searchsorted(theirs_ends, settled_ends), len(theirs_ends) - 1)] == settled_ends
+            if agreed.any():
+                e = int(settled_ends[agreed.argmax()])
                 out.append(w_ids[: int(np.cumsum(w_counts)[np.searchsorted(w_ends, e)])])
                 here = int(np.searchsorted(starts, e, "right")) - 1
                 k, begin = k + 1 + here, e - starts[here]
