@@ -74,6 +74,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncated(table(spark, sf_dir, "documents"))
 
 
+def p8_at_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents, and whether each is flagged at a significant length of its source."""
+    return truncation.truncated_with_limits(table(spark, sf_dir, "documents"))
+
+
 def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each source cuts its texts."""
     return truncation.truncation_by_source(table(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": p7_found,
     "p7_clean_texts": p7_clean_texts,
     "p8_found": p8_found,
+    "p8_at_limits": p8_at_limits,
     "p8_by_source": p8_by_source,
 }
 
