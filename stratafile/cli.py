@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import cascade, explorer, groups, keepers, status, transitions
 from .schema import CatalogConfig, load_config
-from .session import local_session, settled
+from .session import local_session, settled, workspace
 from .sources.catalog import Catalog, export_parquet
 from .sources.tree import scan_row, scan_tree
 
@@ -38,7 +38,7 @@ def run_scan(args: argparse.Namespace) -> int:
     for root in [*config.roots, *(args.root or [])]:
         run, first = catalog.next_ids()
         found = transitions.finish_scan(scan_tree(catalog.spark, root, run, config.include_ext, config.exclude_paths, first), run)
-        catalog.write(files=catalog.files().unionByName(found), scans=catalog.scans().unionByName(scan_row(catalog.spark, root, run)))
+        catalog.append(files=found, scans=scan_row(catalog.spark, root, run))
         print(f"{root}: {catalog.files().where(F.col('scan_run_id') == run).count():,} files in run {run}")
     return 0
 
@@ -49,8 +49,8 @@ def run_hash(args: argparse.Namespace) -> int:
     if args.chunk_bytes:
         config.dedupe.sha_chunk_bytes = args.chunk_bytes
     catalog = _needed(config)
-    files, summary = cascade.hash_all(catalog.files(), config, include=args.include_prefix or [], exclude=args.exclude_prefix or [], force=args.force, mirror=args.mirror_to_sha256)
-    catalog.write(files=files)
+    changed, summary = cascade.hash_changes(catalog.files(), config, include=args.include_prefix or [], exclude=args.exclude_prefix or [], force=args.force, mirror=args.mirror_to_sha256)
+    catalog.change(changed)
     print(summary.first().asDict())
     return 0
 
@@ -62,7 +62,7 @@ def _prune_metadata(catalog: Catalog, config: CatalogConfig, args: argparse.Name
     if not n:
         print("No metadata duplicates; nothing to prune.")
         return
-    catalog.write(files=transitions.without(catalog.files(), gone))
+    catalog.remove(gone)
     print(f"Removed {n:,} catalog rows (kept the oldest of each group).")
 
 
@@ -81,7 +81,7 @@ def _delete(catalog: Catalog, args: argparse.Namespace) -> None:
         return
     done = settled(keepers.execute_plan(plan, dry_run=False))
     # what is gone from disk, before or now, leaves the catalog; what couldn't be removed stays
-    catalog.write(files=transitions.without(catalog.files(), done.where(F.col("outcome").isin("removed", "missing"))))
+    catalog.remove(done.where(F.col("outcome").isin("removed", "missing")))
     print({r.outcome: r.n for r in done.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()})
 
 
@@ -102,7 +102,7 @@ def run_dedupe(args: argparse.Namespace) -> int:
         for r in found.orderBy(F.desc("cnt"), "size_bytes", "name_key").limit(10).collect():
             print(f"  {r.name_key} ({r.ext_key}): {r.cnt} copies of {r.size_bytes:,} bytes")
     elif not args.report_only:
-        files, summary = cascade.detect_duplicates(
+        changed, summary = cascade.detect_changes(
             catalog.files(),
             config,
             quick_hash=not args.skip_quick_hash,
@@ -113,8 +113,9 @@ def run_dedupe(args: argparse.Namespace) -> int:
             use_blake3=args.blake3,
             include=include,
             exclude=exclude,
+            progress=lambda *x: print(x[-1]),
         )
-        catalog.write(files=files)
+        catalog.change(changed)
         detected = True
         for key, value in summary.first().asDict().items():
             print(f"{key}: {value:,}")
@@ -201,7 +202,8 @@ def main(argv: Sequence[str] | None = None) -> int:
     if not getattr(args, "handler", None):
         parser.print_help(sys.stderr)
         return 1
-    return args.handler(args)
+    with workspace(_session()):
+        return args.handler(args)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -66,7 +66,11 @@ def progressive_candidates(files: DataFrame, scope: Scope, digest: str = "sha256
     return heads, collisions(heads, "size_bytes", "h1", "h2")
 
 
-def detect_duplicates(
+#: Called as a run goes on, with the stage, how many files of it are done, how many there are, and a message.
+Progress = Callable[[str, int, int, str], None]
+
+
+def detect_changes(
     files: DataFrame,
     config: CatalogConfig,
     *,
@@ -78,63 +82,73 @@ def detect_duplicates(
     use_blake3: bool = False,
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
+    progress: Progress | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Runs the cascade over the files on disk; gives the new snapshot of files and a one-row summary.
+    """Runs the cascade over the files on disk; gives the rows that it changes, as they are then, and a one-row summary.
 
     Each stage reads only what the one before could not tell apart, and its outcome is written to the shared folder before the next starts:
     quick hashes of candidates, then whole digests of those that still agree (progressive: after head and tail samples instead),
     then the count of groups; files with a whole digest become done. use_blake3 reads what has no blake3 yet, also where a sha256 is
-    known, as digests of two algorithms can't be compared. Files that are gone become missing, unreadable ones error.
+    known, as digests of two algorithms can't be compared. Files that are gone become missing, unreadable ones error. Only changed rows are
+    written, so a run costs what it finds out, not the catalog's size; later stages see them laid over the files. progress is told of each stage's
+    end; tasks report no single files.
     """
     d, scope = config.dedupe, Scope.of(config, include, exclude)
     quick_bytes, chunk, sample = d.quick_hash_bytes, d.sha_chunk_bytes, sample_bytes or config.default_sample()
     if network_friendly:
         quick_bytes, chunk, sample = config.network_friendly(sample_bytes)
-    quick_count = sha_count = 0
+    before, changed = files, None
+    done = {"quick_hash": 0, "sha256": 0}
     lost = {"missing": 0, "error": 0}
 
-    def tally(found: DataFrame) -> int:
+    def stage(name: str, candidates: DataFrame, digests: set[str], size: int, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        nonlocal files, changed
+        found = settled(hash_files(candidates, digests, size, chunk))
         n = {r["outcome"]: r["n"] for r in found.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
         for k in lost:
             lost[k] += n.get(k, 0)
-        return n.get("success", 0)
+        done[name] = n.get("success", 0)
+        rows = transitions.touched(files, found)
+        rows = settled(transitions.apply_failures(apply(rows, found), found))
+        changed = rows if changed is None else settled(transitions.overlay(changed, rows))
+        files = transitions.overlay(before, changed)
+        if progress:
+            progress(name, done[name], sum(n.values()), f"{name}: {done[name]:,} of {sum(n.values()):,} files read")
 
     if quick_hash:
-        found = settled(hash_files(quick_hash_candidates(files, scope), {"quick_hash"}, quick_bytes, chunk))
-        quick_count = tally(found)
-        files = settled(transitions.apply_failures(transitions.apply_quick_hash(files, found), found))
+        stage("quick_hash", quick_hash_candidates(files, scope), {"quick_hash"}, quick_bytes, transitions.apply_quick_hash)
     if sha256:
         whole = "blake3" if use_blake3 else "sha256"
         digest = {whole}
         if progressive:
-            heads = settled(hash_files(_without_sha(files, scope, whole), {"h1"}, sample, chunk))
-            tally(heads)
-            files = settled(transitions.apply_failures(transitions.apply_samples(files, heads), heads))
-            first, _ = progressive_candidates(files, scope, whole)
-            tails = settled(hash_files(first, {"h2"}, sample, chunk))
-            tally(tails)
-            files = settled(transitions.apply_failures(transitions.apply_samples(files, tails), tails))
+            stage("heads", _without_sha(files, scope, whole), {"h1"}, sample, transitions.apply_samples)
+            stage("tails", progressive_candidates(files, scope, whole)[0], {"h2"}, sample, transitions.apply_samples)
             candidates = progressive_candidates(files, scope, whole)[1]
         else:
             candidates = sha_candidates(files, scope, network_friendly, whole)
             small = candidates.where(F.col("quick_hash").isNull() & (F.col("size_bytes") < scope.small))
             digest = digest | ({"quick_hash"} if small.limit(1).count() else set())
-        found = settled(hash_files(candidates, digest, quick_bytes, chunk))
-        sha_count = tally(found)
-        files = settled(transitions.apply_failures(transitions.apply_sha(files, found), found))
+        stage("sha256", candidates, digest, quick_bytes, transitions.apply_sha)
+    finished = settled(transitions.mark_done(files.where(transitions.becomes_done(files))))
+    changed = finished if changed is None else transitions.overlay(changed, finished)
     scoped = files.where(prefix_filter("path_abs", include, exclude))
-    files = transitions.mark_done(files)
     summary = groups.duplicate_summary(scoped).select(
-        F.lit(quick_count + sha_count).cast("long").alias("files_processed"),
+        F.lit(done["quick_hash"] + done["sha256"]).cast("long").alias("files_processed"),
         F.lit(lost["missing"]).cast("long").alias("files_missing"),
         F.lit(lost["error"]).cast("long").alias("files_error"),
-        F.lit(quick_count).cast("long").alias("quick_hash_count"),
-        F.lit(sha_count).cast("long").alias("sha256_count"),
+        F.lit(done["quick_hash"]).cast("long").alias("quick_hash_count"),
+        F.lit(done["sha256"]).cast("long").alias("sha256_count"),
         F.col("groups").alias("duplicate_groups"),
         F.col("files").alias("duplicate_files"),
         "wasted_bytes",
     )
-    return files, summary
+    return settled(changed), summary
+
+
+def detect_duplicates(files: DataFrame, config: CatalogConfig, **options) -> tuple[DataFrame, DataFrame]:
+    """The new snapshot of files and the one-row summary of detect_changes, whose options it takes."""
+    changed, summary = detect_changes(files, config, **options)
+    return transitions.overlay(files, changed), summary
 
 
 def hash_queue(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), force: bool = False) -> DataFrame:
@@ -143,10 +157,16 @@ def hash_queue(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[
     return (rows if force else rows.where(F.coalesce("blake3", F.lit("")) == "")).select("file_id", "path_abs", "size_bytes")
 
 
-def hash_all(files: DataFrame, config: CatalogConfig, *, include: Sequence[str] = (), exclude: Sequence[str] = (), force: bool = False, mirror: bool = False, digest: str = "blake3") -> tuple[DataFrame, DataFrame]:
-    """The whole-digest pass over the queue: the new snapshot, and a one-row summary of candidates, hashed, missing and errors."""
+def hash_changes(files: DataFrame, config: CatalogConfig, *, include: Sequence[str] = (), exclude: Sequence[str] = (), force: bool = False, mirror: bool = False, digest: str = "blake3") -> tuple[DataFrame, DataFrame]:
+    """The whole-digest pass over the queue: the rows that it changes, and a one-row summary of candidates, hashed, missing and errors."""
     found = settled(hash_files(hash_queue(files, include, exclude, force), {digest}, chunk=config.dedupe.sha_chunk_bytes))
     if digest != "blake3":
         found = found.withColumn("blake3", F.col(digest))
-    files = transitions.apply_failures(transitions.apply_full_digest(files, found, mirror), found, clear_blake3=True)
-    return files, transitions.run_counters(found)
+    rows = transitions.apply_failures(transitions.apply_full_digest(transitions.touched(files, found), found, mirror), found, clear_blake3=True)
+    return settled(rows), transitions.run_counters(found)
+
+
+def hash_all(files: DataFrame, config: CatalogConfig, **options) -> tuple[DataFrame, DataFrame]:
+    """The new snapshot of files and the summary of hash_changes, whose options it takes."""
+    changed, summary = hash_changes(files, config, **options)
+    return transitions.overlay(files, changed), summary

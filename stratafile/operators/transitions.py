@@ -1,6 +1,7 @@
-"""Changes of the catalog, each as a new snapshot: rows are joined to what was found by file_id, and nothing is updated in place.
+"""Changes of the catalog: rows are joined to what was found by file_id, and nothing is updated in place.
 
-`found` has unique file_ids; rows it doesn't name stay as they are.
+`found` has unique file_ids; rows it doesn't name stay as they are. Over all files the functions give the new snapshot, over the touched ones the rows to lay
+over the old one.
 """
 
 from __future__ import annotations
@@ -15,6 +16,16 @@ def _with(files: DataFrame, found: DataFrame, values: dict[str, Column], columns
     return files.join(new, "file_id", "left").withColumns(values).select(*files.columns)
 
 
+def overlay(files: DataFrame, changed: DataFrame, ids: DataFrame | None = None, key: str = "file_id") -> DataFrame:
+    """files with rows replaced by the changed ones of the same id. ids: those whose rows go, if more than the changed ones'. Each changed id once."""
+    ids = changed if ids is None else ids
+    return files.join(ids.select(key), key, "left_anti").select(*files.columns).unionByName(changed.select(*files.columns))
+
+
+def touched(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows that something was found about: what the functions below change is among them."""
+    return files.join(found.select("file_id"), "file_id", "left_semi").select(*files.columns)
+
 
 
 def apply_quick_hash(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -69,13 +80,16 @@ def apply_full_digest(files: DataFrame, found: DataFrame, mirror: bool = False)
     return _with(files, found.where(F.col("outcome") == "success"), values, ["blake3"])
 
 
-def mark_done(files: DataFrame) -> DataFrame:
-    """State done where it is quick_hashed or sha_verified and a sha256 or blake3 (where there is that column) is known."""
+def becomes_done(files: DataFrame) -> Column:
     known = F.col("sha256").isNotNull()
     if "blake3" in files.columns:
         known = known | (F.coalesce("blake3", F.lit("")) != "")
-    done = F.col("state").isin("quick_hashed", "sha_verified") & known
-    return files.withColumn("state", F.when(done, "done").otherwise(F.col("state")))
+    return F.col("state").isin("quick_hashed", "sha_verified") & known
+
+
+def mark_done(files: DataFrame) -> DataFrame:
+    """State done where it is quick_hashed or sha_verified and a sha256 or blake3 (where there is that column) is known."""
+    return files.withColumn("state", F.when(becomes_done(files), "done").otherwise(F.col("state")))
 
 
 def finish_scan(files: DataFrame, scan_run_id: int) -> DataFrame:

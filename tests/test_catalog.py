@@ -212,6 +212,30 @@ def test_cascade_on_disk(spark, tree, progressive):
     assert len(by) == files.count()
 
 
+def test_what_a_change_writes_does_not_grow_with_the_catalog(spark, make_files, make_scans, tmp_path, monkeypatch):
+    catalog, at = Catalog(spark, str(tmp_path / "cat")), tmp_path / "cat"
+    assert not catalog.exists() and catalog.next_ids() == (1, 1) and catalog.files().count() == 0
+    size = lambda: {p: p.stat().st_size for p in at.rglob("*.parquet")}
+    written = lambda old: sum(n for p, n in size().items() if p not in old)
+    big = spark.range(1, 20_001).select(F.col("id").alias("file_id"), F.concat(F.lit("/r/"), F.sha2(F.col("id").cast("string"), 256)).alias("path_abs"), F.lit("quick_hashed").alias("state"))
+    catalog.append(files=migrated(big), scans=make_scans({"scan_run_id": 1}))
+    assert catalog.next_ids() == (2, 20_001)
+    before, total = size(), sum(size().values())
+    catalog.append(files=make_files(row(20_001)), scans=make_scans({"scan_run_id": 2}))
+    catalog.change(make_files(row(5, "/new", state="done"), row(20_001, "/x", state="done")))
+    catalog.remove(spark.createDataFrame([(7,), (8,), (8,)], "file_id long"))
+    catalog.change(make_files(row(5, "/newer", state="missing")))
+    assert written(before) < 0.1 * total and not set(before) - set(size())
+    own = {r.file_id: (r.path_abs, r.state) for r in catalog.files().where("file_id IN (5, 7, 8, 20001)").collect()}
+    assert own == {5: ("/newer", "missing"), 20_001: ("/x", "done")} and catalog.files().count() == 19_999
+    assert catalog.next_ids() == (3, 20_002)
+    monkeypatch.setattr("stratafile.sources.catalog.MOST_CHANGES", 3)
+    catalog.change(make_files(row(6, "/six")))  # now they are merged
+    assert catalog._state()["files"]["changes"] == [] and catalog.files().count() == 19_999
+    again = {r.file_id: r.path_abs for r in Catalog(spark, catalog.path).files().where("file_id < 9").collect()}
+    assert again[5] == "/newer" and again[6] == "/six" and 7 not in again
+
+
 def test_commands(spark, tree, tmp_path, capsys, monkeypatch):
     config = tmp_path / "c.json"
     config.write_text(f'{{"roots": ["{tree}"], "db": {{"path": "{tmp_path}/cat"}}, "dedupe": {{"min_file_size": 1, "min_duplicate_count": 2}}}}')

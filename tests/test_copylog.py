@@ -2,6 +2,7 @@ import datetime as dt
 
 from stratafile.operators import copylog
 from stratafile.sources.logs import read_log
+from stratafile.streaming import copymonitor
 from stratafile.streaming.copymonitor import monitor
 
 LINES = [
@@ -39,16 +40,54 @@ def test_script(spark, make_files, tmp_path):
 
 
 def test_monitor(spark, tmp_path):
-    (tmp_path / "log").mkdir()
-    (tmp_path / "log" / "a.txt").write_text("\n".join(x or "" for x in LINES))
-    for name, copies in (("first", 1), ("again", 2)):
-        if copies == 2:
-            (tmp_path / "log" / "b.txt").write_text("\n".join(x or "" for x in LINES))
-        query = monitor(spark, str(tmp_path / "log"), f"totals_{name}", str(tmp_path / f"cp{copies}"), None)
-        query.awaitTermination(120)
-        row = spark.table(f"totals_{name}").first()
-        assert (row.blocks, row.copied, row.bytes_total) == (3 * copies, 3 * copies, 1000 * copies)
-        assert row.last_start == dt.datetime(2024, 1, 2, 13)
+    """Lines that are appended to a file that was read before count, as do new files; a line that isn't whole yet waits."""
+    log, cp = tmp_path / "log", str(tmp_path / "cp")
+    log.mkdir()
+    text = "\n".join(x or "" for x in LINES) + "\n"
+    (log / "a.txt").write_text(text)
+
+    def totals(name, keys=None, cp=cp):
+        monitor(spark, str(log), name, cp, None, keys).awaitTermination(120)
+        return spark.table(name)
+
+    row = totals("first").first()
+    assert (row.blocks, row.copied, row.bytes_total, row.last_file, row.last_status) == (3, 3, 1000, "last one.dwg", "failed")
+    assert row.start_time == dt.datetime(2024, 1, 1, 10) and row.last_start == dt.datetime(2024, 1, 2, 13)
+    by = {r.log.rsplit("/", 1)[1]: r for r in totals("by_log", ["log"], str(tmp_path / "cp_by")).collect()}
+    assert by["a.txt"].copied == 3
+
+
+def test_appended_lines_are_read_once(spark, tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("Files : 5 2 3 0 0 0\nFiles : one.pdf\nFiles : 9 9")
+    query = monitor(spark, str(path), "growing", str(tmp_path / "cp"), 0)
+    try:
+        query.processAllAvailable()
+        assert spark.table("growing").first().copied == 2
+        with path.open("a") as f:
+            f.write(" 0 0 0 0\nFiles : two.pdf\n")
+        query.processAllAvailable()
+        row = spark.table("growing").first()
+        assert (row.blocks, row.copied, row.last_file, row.last_status) == (2, 11, "two.pdf", "copied")
+    finally:
+        query.stop()
+
+
+def test_log_ranges_share_no_line(tmp_path):
+    path = tmp_path / "a.log"
+    lines = [f"line {i} " + "x" * (i % 97) for i in range(500)] + ["y" * 200_000]
+    path.write_text("\n".join(lines) + "\nnot whole")
+    reader = copymonitor._LogReader(str(path))
+    end = reader.latestOffset()
+    assert end == {str(path): sum(len(x) + 1 for x in lines)}
+    old, copymonitor.TASK_BYTES = copymonitor.TASK_BYTES, 701
+    try:
+        parts = reader.partitions({}, end)
+        assert len(parts) > 50 and [x[2] for p in parts for x in reader.read(p)] == lines
+        later = reader.partitions({str(path): len(lines[0]) + 1}, end)
+        assert [x[2] for p in later for x in reader.read(p)] == lines[1:]
+    finally:
+        copymonitor.TASK_BYTES = old
 
 
 def test_log_files_keep_their_order(spark, tmp_path):
