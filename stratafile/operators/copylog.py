@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.formats import copy_time, parse_human_size, summary_values
+from ..functions.formats import copy_time, format_bytes, parse_human_size, summary_values
 from ..functions.paths import like, quoted, relative_to
 from ..functions.text import trimmed
+from ..session import settled
 from . import groups
+from .skew import balanced_rank
 
 # The log's counters in the order of its columns, after the total; the copy command's options.
 COUNTERS = ["copied", "skipped", "mismatch", "failed", "extras"]
@@ -98,6 +100,31 @@ def script_lines(files: DataFrame, prefix: str, target: str, log: str = "copy.lo
     return m.select("dir", "name", relative_to("dir", prefix).alias("display"), line.alias("line"))
 
 
+def script(files: DataFrame, prefix: str, target: str, log: str = "copy.log", threads: int = 16) -> DataFrame:
+    """The whole copy script: part, dir, kind, name and line, whose order is that of the first four. header() reads its head again.
+
+    Part 0 is the head with the totals, part 1 the directories, each with an echo of its number, its commands and an empty echo, part 2 the foot. Directories are
+    numbered in range partitions, so their number has no bound.
+    """
+    commands = settled(script_lines(files, prefix, target, log, threads))
+    total = groups.active(files).where(like("dir", prefix + "%") & like("path_abs", prefix + "%")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"))
+    dirs = settled(balanced_rank(commands.groupBy("dir").agg(F.first("display").alias("display")).withColumn("_all", F.lit(1)), ["_all"], [F.asc("dir")], "idx"))
+    n = dirs.agg(F.count(F.lit(1)).alias("n"))
+    row = lambda part, kind, line, of="": F.struct(F.lit(part).alias("part"), F.lit(of).alias("dir") if of == "" else F.col(of).alias("dir"), F.lit(kind).alias("kind"), F.lit("").alias("name"), line.alias("line"))
+    # What a batch file of the copy tool begins and ends with.
+    head = [
+        F.lit("@echo off"), F.lit(f"REM Source: {prefix}"), F.lit(f"REM Destination: {target}"),
+        F.concat(F.lit("REM Total files: "), F.format_number("n", 0)), F.concat(F.lit("REM Total size: "), format_bytes("b", 2)), F.lit(f"REM Threads: {threads}"),
+    ]
+    foot = [F.lit("echo Copy complete."), F.lit("pause")]
+    ends = total.select(F.explode(F.array(*(row(0, k, x) for k, x in enumerate(head)), *(row(2, k, x) for k, x in enumerate(foot)))).alias("r")).select("r.*")
+    number = F.concat(F.lit("echo "), F.col("idx").cast("string"), F.lit("/"), n.scalar().cast("string"), F.lit(": "), F.col("display"))
+    around = dirs.select(F.explode(F.array(row(1, 0, number, "dir"), row(1, 2, F.lit("echo."), "dir"))).alias("r")).select("r.*")
+    own = commands.select(F.lit(1).alias("part"), "dir", F.lit(1).alias("kind"), "name", "line")
+    return ends.unionByName(around).unionByName(own)
+
+
 def write_script(files: DataFrame, prefix: str, target: str, path: str, **options) -> None:
-    """Writes the script as text files in the order of directory and name; each part holds a range of directories."""
-    script_lines(files, prefix, target, **options).repartitionByRange("dir", "name").sortWithinPartitions("dir", "name").select("line").write.mode("overwrite").text(path)
+    """Writes the script as text files; each part file holds a range of directories, and their names rise with it."""
+    by = ["part", "dir", "kind", "name"]
+    settled(script(files, prefix, target, **options)).repartitionByRange(*by).sortWithinPartitions(*by).select("line").write.mode("overwrite").text(path)

@@ -45,6 +45,24 @@ def page(files: DataFrame, number: int = 1, size: int = 100, text: str = "", sta
     return rows.orderBy(order, F.asc("file_id")).offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(files: DataFrame, last: tuple | None, size: int = 100, text: str = "", state: str = "All", sort: str = "path_abs") -> DataFrame:
+    """The page that follows a row, in rising order: last is that row's value of the sorted column and its file_id (None for the first page).
+
+    However deep the page lies, each task keeps one page of rows, and what comes before isn't sorted; pages by number (page) carry all rows up to theirs.
+    """
+    if sort not in SORTABLE:
+        raise ValueError(f"can't sort by {sort}; by {', '.join(SORTABLE)}")
+    rows = files.where(search(text, state)).select(*COLUMNS)
+    if last is not None:
+        value, at = last
+        later = F.col("file_id") > at
+        if value is None:
+            rows = rows.where((F.col(sort).isNull() & later) | F.col(sort).isNotNull())
+        else:
+            rows = rows.where((F.col(sort) > F.lit(value)) | ((F.col(sort) == F.lit(value)) & later))
+    return rows.orderBy(F.asc_nulls_first(sort), F.asc("file_id")).limit(size)
+
+
 def count(files: DataFrame, text: str = "", state: str = "All") -> DataFrame:
     return files.where(search(text, state)).agg(F.count(F.lit(1)).alias("n"))
 
@@ -70,3 +88,13 @@ def tree(files: DataFrame, limit: int | None = None, text: str = "", state: str
     dirs = rows.where(F.col("dir").isNotNull()).groupBy("dir").agg(F.count(F.lit(1)).alias("n"))
     steps = dirs.select("n", F.explode(ancestors("dir")).alias("a"))
     return steps.groupBy(F.col("a.path").alias("path"), F.col("a.depth").alias("depth")).agg(F.sum("n").alias("files"))
+
+
+def leaves(files: DataFrame, limit: int | None = None, text: str = "", state: str = "All") -> DataFrame:
+    """path, parent, name and depth of every found file, to hang below tree()'s directories; separators are /, as there. limit: as in tree. Rows without a path have no place."""
+    rows = files.where(search(text, state) & F.col("path_abs").isNotNull())
+    if limit:
+        rows = rows.orderBy("path_abs", "file_id").limit(limit)
+    way = F.filter(F.split(F.regexp_replace("path_abs", r"\\", "/"), "/"), lambda p: p != "")
+    rows = rows.select("file_id", "path_abs", way.alias("way"), F.size(way).alias("depth"))
+    return rows.select("file_id", F.array_join("way", "/").alias("path"), F.array_join(F.slice("way", 1, F.greatest(F.col("depth") - 1, F.lit(0))), "/").alias("parent"), F.coalesce(F.get("way", F.col("depth") - 1), F.lit("")).alias("name"), "depth")

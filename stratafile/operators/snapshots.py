@@ -74,9 +74,9 @@ def run_changes(files: DataFrame, scans: DataFrame) -> DataFrame:
             instant_micros("mtime_utc").alias("mtime"),
             has_code("error_code", "process").alias("unknown"),
         )
-        latest = own.groupBy("later_run_id", "path_key").agg(
-            *(F.max_by(c, "file_id").alias(c) for c in ("size_bytes", "mtime", "unknown"))
-        )
+        # one struct, so that rows with the same id never mix their values
+        latest = own.groupBy("later_run_id", "path_key").agg(F.max(F.struct("file_id", "size_bytes", "mtime", "unknown")).alias("r"))
+        latest = latest.select("later_run_id", "path_key", "r.size_bytes", "r.mtime", "r.unknown")
         return latest.withColumn("row_hash", row_hash(F.col("size_bytes"), F.col("mtime")))
 
     size_kept = F.col("before_size_bytes").eqNullSafe(F.col("after_size_bytes"))

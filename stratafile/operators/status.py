@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import prefix_filter
+from ..functions.text import ext_key
 from . import groups
 
 MIB = 1024 * 1024
@@ -108,14 +109,34 @@ def progressive_savings(files: DataFrame, prefix: str = "S:", sample: int = 65_5
     )
 
 
-def extension_summary(files: DataFrame, samples: int = 3) -> DataFrame:
-    """ext (NULL as empty), n, and up to `samples` lowest distinct names. Names are reduced by a bounded aggregate before they are gathered."""
+def extension_summary(files: DataFrame, samples: int = 3, top: int | None = None) -> DataFrame:
+    """ext (NULL as empty), n, and up to `samples` lowest distinct names; top: only the extensions with most files, ties by name. Names are reduced by a window whose limit is applied before the shuffle."""
     keyed = files.select(groups.ext_or_empty().alias("ext"), "name")
     counts = keyed.groupBy("ext").agg(F.count(F.lit(1)).alias("n"))
+    if top is not None:
+        counts = counts.orderBy(F.desc("n"), "ext").limit(top)
     names = keyed.where(F.col("name").isNotNull()).distinct()
-    from pyspark.sql import Window
-
-    first = names.withColumn("_k", F.row_number().over(Window.partitionBy("ext").orderBy("name"))).where(F.col("_k") <= samples)
+    first = groups.first_members(names, ["ext"], [F.asc("name")], samples)
     lists = first.groupBy("ext").agg(F.array_sort(F.collect_list("name")).alias("samples"))
     empty = F.array().cast("array<string>")
     return counts.join(lists, "ext", "left").select("ext", "n", F.coalesce("samples", empty).alias("samples"))
+
+
+# What kinds of files the categorized summary tells apart; others are in none.
+CATEGORIES = {
+    "documents": [".pdf", ".doc", ".docx", ".txt", ".rtf", ".odt", ".md"],
+    "sheets": [".xls", ".xlsx", ".csv", ".ods"],
+    "drawings": [".dwg", ".dxf", ".rvt", ".skp"],
+    "images": [".jpg", ".jpeg", ".png", ".tif", ".tiff", ".gif", ".bmp"],
+    "mail": [".msg", ".eml", ".pst"],
+    "archives": [".zip", ".7z", ".rar", ".tar", ".gz"],
+}
+
+
+def extension_categories(files: DataFrame, categories: dict[str, list[str]] | None = None) -> DataFrame:
+    """category, extensions and n of the files by kind of extension (trimmed, without case); other for the rest."""
+    counts = files.groupBy(ext_key("ext").alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+    category = F.lit("other")
+    for name, exts in (CATEGORIES if categories is None else categories).items():
+        category = F.when(F.col("ext").isin([e.lower() for e in exts]), name).otherwise(category)
+    return counts.groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("extensions"), F.sum("n").alias("n"))

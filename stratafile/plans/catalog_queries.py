@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..functions import digests, formats, paths
 from ..operators import cascade, copylog, explorer, groups, keepers, status, transitions
 from ..operators.cascade import Scope
-from .core_queries import sql_micros, table
+from ..schema import CatalogConfig
+from .core_queries import sql_code, sql_micros, table
 
 SCOPE = Scope()
 #: Paths that the filtered queries are about: one root in another case, and one drive but for a share of its folders.
 INCLUDE, EXCLUDE = ["s:\\JOBS\\", "/srv/vault2/"], ["S:\\jobs\\00000"]
 FILTERED = Scope(include=INCLUDE, exclude=EXCLUDE)
-SAMPLE = 64
+#: Samples of the quick digest, and of head and tail, as in production.
+QUICK_SAMPLE, SAMPLE = CatalogConfig([]).dedupe.quick_hash_bytes, CatalogConfig([]).default_sample()
 MANIFEST = "S:\\Jobs\\"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,6 +290,25 @@ def hash_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.hash_queue(_files(spark, sf_dir), INCLUDE, EXCLUDE)
 
 
+@query(f"SELECT file_id, path_abs, size_bytes FROM files WHERE {_ACTIVE} AND coalesce(blake3, '') = ''")
+def hash_queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cascade.hash_queue(_files(spark, sf_dir))
+
+
+@query(f"""WITH g AS ({_meta_sql()}) SELECT file_id, path_abs, size_bytes, name, ext, mtime_utc FROM files f
+WHERE {_ACTIVE} AND (size_bytes, lower(name), coalesce(ext, '')) IN (SELECT (size_bytes, name_key, ext_key) FROM g)""")
+def metadata_rows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.metadata_rows(_files(spark, sf_dir), SCOPE.min_size, SCOPE.min_count).select("file_id", "path_abs", "size_bytes", "name", "ext", "mtime_utc")
+
+
+@query("""SELECT count(*) AS candidates, count(*) FILTER (o = 'success') AS hashed, count(*) FILTER (o = 'missing') AS missing, count(*) FILTER (o = 'error') AS errors
+FROM (SELECT CASE WHEN state IN ('missing', 'error') THEN state WHEN sha256 IS NOT NULL THEN 'success' END AS o FROM files) x""")
+def hash_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run that had the outcomes that the catalog shows."""
+    outcome = F.when(F.col("state").isin("missing", "error"), F.col("state")).when(F.col("sha256").isNotNull(), "success")
+    return transitions.run_counters(_files(spark, sf_dir).select(outcome.alias("outcome")))
+
+
 @query(f"SELECT file_id FROM files WHERE {_FILTER}")
 def path_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _files(spark, sf_dir).where(paths.prefix_filter("path_abs", INCLUDE, EXCLUDE)).select("file_id")
@@ -339,6 +360,25 @@ def explorer_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explorer.tree(_files(spark, sf_dir))
 
 
+_FIRST = "(SELECT * FROM files ORDER BY path_abs NULLS FIRST, file_id LIMIT 50000)"
+
+
+@query(r"""SELECT path, depth, count(*) AS files FROM (
+  SELECT array_to_string(list_slice(parts, 1, k), '/') AS path, k AS depth FROM (
+    SELECT parts, unnest(range(1, len(parts) + 1))::INTEGER AS k FROM (
+      SELECT list_filter(string_split(replace(dir, '\', '/'), '/'), lambda x: x <> '') AS parts FROM FIRST WHERE dir IS NOT NULL) a) b) c
+GROUP BY 1, 2""".replace("FIRST", _FIRST))
+def explorer_tree_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50,000 files by path are the feature."""
+    return explorer.tree(_files(spark, sf_dir), 50_000)
+
+
+@query(r"""SELECT file_id, array_to_string(way, '/') AS path, array_to_string(list_slice(way, 1, len(way) - 1), '/') AS parent, coalesce(way[-1], '') AS name, CAST(len(way) AS INTEGER) AS depth
+FROM (SELECT file_id, list_filter(string_split(replace(path_abs, '\', '/'), '/'), lambda x: x <> '') AS way FROM files WHERE path_abs IS NOT NULL) x""")
+def explorer_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explorer.leaves(_files(spark, sf_dir))
+
+
 _UNHASHED = f"sha256 IS NULL AND {_ACTIVE} AND {_under(['S:'])}"
 
 
@@ -384,6 +424,26 @@ def extension_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.extension_summary(_files(spark, sf_dir))
 
 
+_TOP = "SELECT coalesce(ext, '') AS ext, count(*) AS n FROM files GROUP BY 1 ORDER BY n DESC, ext LIMIT 20"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT coalesce(ext, '') AS ext, name FROM files WHERE name IS NOT NULL),
+s AS (SELECT ext, list(name ORDER BY name) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY ext ORDER BY name) AS k FROM n) x WHERE k <= 2 GROUP BY 1)
+SELECT f.ext, f.n, coalesce(s.samples, []) AS samples FROM ({_TOP}) f LEFT JOIN s USING (ext)""")
+def extension_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 extensions with most files, the feature."""
+    return status.extension_summary(_files(spark, sf_dir), 2, 20)
+
+
+_CATEGORY = " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in exts)}) THEN '{name}'" for name, exts in status.CATEGORIES.items())
+
+
+@query(f"""SELECT CASE {_CATEGORY} ELSE 'other' END AS category, count(*) AS extensions, CAST(sum(n) AS BIGINT) AS n
+FROM (SELECT coalesce({sql_code('ext')}, '') AS ext, count(*) AS n FROM files GROUP BY 1) x GROUP BY 1""")
+def extension_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.extension_categories(_files(spark, sf_dir))
+
+
 def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogued files whose text is in documents: of several texts of a file the one with the lowest doc_id. file_id, text."""
     docs = table(spark, sf_dir, "documents").where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
@@ -391,7 +451,7 @@ def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOCS = "c AS (SELECT file_id, arg_min(text, doc_id) AS text FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY 1)"
-_QUICK = f"md5(length(text)::VARCHAR || left(text, {SAMPLE}) || CASE WHEN length(text) > {SAMPLE} THEN right(text, {SAMPLE}) ELSE '' END)"
+_QUICK = f"md5(length(text)::VARCHAR || left(text, {QUICK_SAMPLE}) || CASE WHEN length(text) > {QUICK_SAMPLE} THEN right(text, {QUICK_SAMPLE}) ELSE '' END)"
 
 
 @query(f"""SELECT doc_id, sha256(text) AS sha256, {_QUICK} AS quick_digest, md5(left(text, {SAMPLE})) AS h1,
@@ -402,7 +462,7 @@ def content_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id",
         digests.sha256_hex("text").alias("sha256"),
-        digests.sampled_digest("text", F.length("text"), SAMPLE).alias("quick_digest"),
+        digests.sampled_digest("text", F.length("text"), QUICK_SAMPLE).alias("quick_digest"),
         digests.head_digest("text", SAMPLE).alias("h1"),
         digests.tail_digest("text", SAMPLE).alias("h2"),
     )
@@ -414,7 +474,7 @@ def apply_quick_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir)
     own = groups.active(files).where(F.col("quick_hash").isNull()).select("file_id")
     found = _contents(spark, sf_dir).join(own, "file_id", "left_semi")
-    found = found.select("file_id", digests.sampled_digest("text", F.length("text"), SAMPLE).alias("quick_hash"), F.lit("success").alias("outcome"))
+    found = found.select("file_id", digests.sampled_digest("text", F.length("text"), QUICK_SAMPLE).alias("quick_hash"), F.lit("success").alias("outcome"))
     return transitions.apply_quick_hash(files, found).select("file_id", "quick_hash", "state")
 
 
@@ -429,13 +489,20 @@ def apply_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _contents(spark, sf_dir).join(own, "file_id", "left_semi").select(
         "file_id",
         digests.sha256_hex("text").alias("sha256"),
-        digests.sampled_digest("text", F.length("text"), SAMPLE).alias("quick_hash"),
+        digests.sampled_digest("text", F.length("text"), QUICK_SAMPLE).alias("quick_hash"),
         F.lit(None).cast("string").alias("blake3"),
         F.lit("success").alias("outcome"),
     )
     return transitions.mark_done(transitions.apply_sha(files.drop("blake3"), found)).select("file_id", "sha256", "quick_hash", "state")
 
 
+@query(f"""WITH {_DOCS} SELECT f.file_id, coalesce(md5(left(c.text, {SAMPLE})), f.h1) AS h1, coalesce(CASE WHEN length(c.text) = 0 THEN '' ELSE md5(right(c.text, {SAMPLE})) END, f.h2) AS h2
+FROM files f LEFT JOIN c ON f.file_id = c.file_id""")
+def apply_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _contents(spark, sf_dir).select("file_id", digests.head_digest("text", SAMPLE).alias("h1"), digests.tail_digest("text", SAMPLE).alias("h2"), F.lit("success").alias("outcome"))
+    return transitions.apply_samples(_files(spark, sf_dir), found).select("file_id", "h1", "h2")
+
+
 @query(f"""WITH {_DOCS} SELECT f.file_id, CASE WHEN c.text IS NOT NULL THEN sha256(c.text) ELSE f.sha256 END AS sha256,
   CASE WHEN c.text IS NOT NULL THEN sha256(c.text) ELSE f.blake3 END AS blake3,
   CASE WHEN c.text IS NOT NULL AND coalesce(f.state, '') NOT IN ('error', 'missing') THEN 'sha_verified' ELSE f.state END AS state
@@ -509,20 +576,31 @@ def copylog_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copylog.summary(table(spark, sf_dir, "copylog")).drop("start_time", "last_start", "last_status", "last_file")
 
 
-@query()
+_TIME = r"""try_strptime(regexp_replace(regexp_extract(rest, '^(Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,\s+([A-Za-z]+\s+[0-9]{1,2},\s+[0-9]{4}\s+[0-9]{1,2}:[0-9]{2}:[0-9]{2}\s+[AaPp][Mm])$', 2), '\s+', ' ', 'g'), '%B %d, %Y %I:%M:%S %p')"""
+_HOW = "CASE WHEN a[2] > 0 THEN 'copied' WHEN a[3] > 0 THEN 'skipped' WHEN a[5] > 0 THEN 'failed' WHEN a[4] > 0 THEN 'mismatch' WHEN a[6] > 0 THEN 'extra' END"
+
+
+@query(f"""{_LOG}, w AS (SELECT log_id, line_no, is_start, CASE WHEN is_start THEN {_TIME} END AS t, CASE WHEN is_files AND has THEN {_HOW} END AS status FROM v)
+SELECT log_id, arg_min(t, line_no) FILTER (t IS NOT NULL) AS start_time, arg_max_null(t, line_no) FILTER (is_start) AS last_start, arg_max(status, line_no) FILTER (status IS NOT NULL) AS last_status FROM w GROUP BY 1""")
 def copylog_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last start and last status of each log."""
     return copylog.summary(table(spark, sf_dir, "copylog"), ["log_id"]).select("log_id", "start_time", "last_start", "last_status")
 
 
-_FORMAT = """CASE WHEN size_bytes IS NULL THEN '' WHEN size_bytes < 1024 THEN concat(size_bytes, ' B') WHEN size_bytes < 1048576 THEN printf('%.1f KB', size_bytes / 1024.0)
-  WHEN size_bytes < 1073741824 THEN printf('%.1f MB', size_bytes / 1048576.0) WHEN size_bytes < 1099511627776 THEN printf('%.1f GB', size_bytes / 1073741824.0)
-  ELSE printf('%.1f TB', size_bytes / 1099511627776.0) END"""
+def _sized(c: str, decimals: int, last: int = 6) -> str:
+    """A size with its unit in whole numbers: halves are rounded up, as by the operator."""
+    one, names = 10**decimals, formats.UNITS[:last]
+    out = f"CASE WHEN {c} IS NULL THEN '' WHEN {c} < 1024 THEN concat({c}, ' B')"
+    for k, name in enumerate(names, 1):
+        q = f"((CAST({c} AS HUGEINT) * {2 * one} + {1024**k}) // {2 * 1024**k})"
+        cond = "ELSE" if k == len(names) else f"WHEN {c} < {1024 ** (k + 1)} THEN"
+        out += f" {cond} concat({q} // {one}, '.', lpad(CAST({q} % {one} AS VARCHAR), {decimals}, '0'), ' {name}')"
+    return out + " END"
 
 
-@query()
+@query(f"SELECT file_id, {_sized('size_bytes', 1)} AS explorer, {_sized('size_bytes', 2)} AS monitor, {_sized('size_bytes', 2, 3)} AS report FROM files")
 def formatted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Explorer's, monitor's and report's form of each size. Rounding of halves differs between engines, so tests hold it, not SQL."""
+    """Explorer's, monitor's and report's form of each size."""
     return _files(spark, sf_dir).select(
         "file_id",
         formats.format_bytes("size_bytes").alias("explorer"),
@@ -544,3 +622,34 @@ def files_with_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The link from files to scans; files are reduced to their runs before they meet scans."""
     runs = _files(spark, sf_dir).select("scan_run_id").distinct()
     return runs.join(table(spark, sf_dir, "scans").select("scan_run_id", "host"), "scan_run_id")
+
+
+_LINES = SQL["copy_script"]
+
+
+@query(f"""WITH c AS ({_LINES}), t AS (SELECT count(*) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS b FROM files WHERE {_MANIFEST}),
+d AS (SELECT dir, any_value(display) AS display, row_number() OVER (ORDER BY dir) AS idx, count(*) OVER () AS dirs FROM c GROUP BY dir),
+h AS (SELECT unnest([{{'part': 0, 'kind': 0, 'line': '@echo off'}}, {{'part': 0, 'kind': 1, 'line': 'REM Source: {MANIFEST}'}}, {{'part': 0, 'kind': 2, 'line': 'REM Destination: D:\Copy'}},
+  {{'part': 0, 'kind': 3, 'line': format('REM Total files: {{:,}}', n)}}, {{'part': 0, 'kind': 4, 'line': concat('REM Total size: ', {_sized('b', 2)})}}, {{'part': 0, 'kind': 5, 'line': 'REM Threads: 16'}},
+  {{'part': 2, 'kind': 0, 'line': 'echo Copy complete.'}}, {{'part': 2, 'kind': 1, 'line': 'pause'}}], recursive := true) FROM t)
+SELECT part, '' AS dir, kind, '' AS name, line FROM h
+UNION ALL SELECT 1, dir, 0, '', concat('echo ', idx, '/', dirs, ': ', display) FROM d UNION ALL SELECT 1, dir, 2, '', 'echo.' FROM d
+UNION ALL SELECT 1, dir, 1, name, line FROM c""")
+def copy_script_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copylog.script(_files(spark, sf_dir), MANIFEST, "D:\\Copy")
+
+
+_SECONDS = "(l_orderkey * l_linenumber * 7 - 500)"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, greatest(CAST({_SECONDS} AS BIGINT), 0) AS s FROM lineitem)
+SELECT l_orderkey, l_linenumber, concat(CASE WHEN s >= 86400 THEN concat(s // 86400, 'd ') ELSE '' END, printf('%02d:%02d:%02d', s % 86400 // 3600, s % 3600 // 60, s % 60)) AS duration FROM s""")
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formats.format_duration(F.col("l_orderkey") * F.col("l_linenumber") * 7 - 500).alias("duration"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) - 5 AS d, CAST(l_linenumber AS DOUBLE) * 12 AS t, CAST(l_orderkey % 7 AS DOUBLE) AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN d > 0 AND t > d AND e > 0 THEN CAST(trunc((t - d) / (d / e)) AS BIGINT) END AS eta FROM x""")
+def etas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, total, elapsed = F.col("l_quantity").cast("double") - 5, F.col("l_linenumber").cast("double") * 12, (F.col("l_orderkey") % 7).cast("double")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", formats.eta_seconds(done, total, elapsed).alias("eta"))

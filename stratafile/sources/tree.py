@@ -25,8 +25,11 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             try:
                 entries = list(os.scandir(directory))
-            except OSError:
+            except FileNotFoundError:
                 continue
+            except OSError as e:
+                entries = []
+                rows.append({"path_abs": directory, "is_dir": False, "size_bytes": 0, "mtime": None, "ctime": None, "error": str(e)})
             for entry in entries:
                 row = {"path_abs": entry.path, "is_dir": False, "size_bytes": 0, "mtime": None, "ctime": None, "error": None}
                 try:
@@ -54,7 +57,7 @@ def scan_tree(spark: SparkSession, root: str, scan_run_id: int, include_ext: lis
 
     Level by level: the directories of a level are dealt to the executors, which list them; the driver only sees whether there is another
     level. Files pass if their suffix is among include_ext (all, if it is empty), and if their path and the directories they lie in hold none of exclude_paths. A
-    file that can't be read becomes a row in state error with the code process and size 0. A missing root gives no rows.
+    file or directory that can't be read becomes a row in state error with the code process and size 0. A missing root gives no rows.
     """
     from ..session import settled
 

@@ -129,6 +129,50 @@ def test_explorer(make_files):
     assert {r.path for r in explorer.tree(files, limit=1).collect()} == {"q"}
 
 
+def test_pages_after_a_row_and_leaves(make_files):
+    files = make_files(row(1, "/r/b"), row(2, "/r/a", ext=None), row(3, "\\\\q\\c", ext=None), row(4, "/r/a"), {**row(5), "path_abs": None})
+    for sort in ("path_abs", "ext", "size_bytes"):
+        want, got, last = [r.file_id for r in explorer.page(files, size=9, sort=sort).collect()], [], None
+        while rows := explorer.page_after(files, last, 2, sort=sort).collect():
+            got += [r.file_id for r in rows]
+            last = (rows[-1][sort], rows[-1].file_id)
+        assert got == want and len(got) == 5
+    with pytest.raises(ValueError):
+        explorer.page_after(files, None, sort="1")
+    found = {r.file_id: (r.path, r.parent, r.name, r.depth) for r in explorer.leaves(files).collect()}
+    assert found == {1: ("r/b", "r", "b", 2), 2: ("r/a", "r", "a", 2), 3: ("q/c", "q", "c", 2), 4: ("r/a", "r", "a", 2)}
+    assert ids(explorer.leaves(files, limit=2)) == [2, 4] and explorer.leaves(make_files()).count() == 0
+
+
+def test_extensions(make_files):
+    files = make_files(row(1, "/c.pdf"), row(2, "/a.pdf"), row(3, "/b.pdf", ext=" .PDF"), row(4, "/x", ext=None), row(5, "/y.zip", ext=".zip"), {**row(6), "name": None})
+    top = [(r.ext, r.n, r.samples) for r in status.extension_summary(files, 2, 1).collect()]
+    assert top == [(".pdf", 3, ["a.pdf", "c.pdf"])] and status.extension_summary(make_files()).count() == 0
+    by = {r.category: (r.extensions, r.n) for r in status.extension_categories(files).collect()}
+    assert by == {"documents": (1, 4), "other": (1, 1), "archives": (1, 1)}
+    assert {r.category for r in status.extension_categories(files, {"z": [".ZIP"]}).collect()} == {"z", "other"}
+
+
+def test_unreadable_directories_give_rows(monkeypatch):
+    import pyarrow as pa
+
+    from stratafile.sources import tree as source
+
+    def scandir(path):
+        raise PermissionError("no entry") if path == "/locked" else FileNotFoundError(path)
+
+    monkeypatch.setattr(source.os, "scandir", scandir)
+    rows = [r for b in source._list(iter([pa.RecordBatch.from_pydict({"path_abs": ["/locked", "/none"]})])) for r in b.to_pylist()]
+    assert [(r["path_abs"], r["is_dir"], r["error"]) for r in rows] == [("/locked", False, "no entry")]
+
+
+def test_progress_is_told(spark, tree):
+    config, seen = CatalogConfig([str(tree)], dedupe=DedupeConfig(min_file_size=1, min_duplicate_count=2)), []
+    changed, summary = cascade.detect_changes(scan_tree(spark, str(tree), 1), config, progress=lambda *x: seen.append(x))
+    assert [s[:3] for s in seen] == [("quick_hash", 5, 5), ("sha256", 4, 4)] and summary.first().duplicate_groups == 1
+    assert {r.name for r in changed.collect()} == {"a.PDF", "b.pdf", "_c.pdf", "d.pdf", "e.pdf"}
+
+
 def test_transitions(spark, make_files):
     files = make_files(row(1, state="done"), row(2, state="quick_hashed", sha256="s"), row(3, state="error"), row(4))
     found = spark.createDataFrame([(1, "n", "q", "b", "success", None), (3, "n", "q", "b", "success", None), (4, None, None, None, "missing", "gone")], "file_id long, sha256 string, quick_hash string, blake3 string, outcome string, message string")

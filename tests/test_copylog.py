@@ -35,8 +35,15 @@ def test_script(spark, make_files, tmp_path):
     assert set(lines) == {"a", 'b"'}
     assert lines["a"] == ("(root)", 'robocopy "S:\\J" "D:\\T" "a" /MT:4 /R:2 /W:5 /NFL /NDL /NP /BYTES /TEE /LOG+:l')
     assert '"b\\""' in lines['b"'][1]
-    copylog.write_script(make_files(*rows), "S:\\J", "D:\\T", str(tmp_path / "s"))
-    assert spark.read.text(str(tmp_path / "s")).count() == 2
+    sized = make_files(*({**r, "size_bytes": 1024**3} for r in rows))
+    copylog.write_script(sized, "S:\\J", "D:\\T", str(tmp_path / "s"))
+    written = [x for p in sorted((tmp_path / "s").glob("part-*")) for x in p.read_text().splitlines()]
+    assert written[0] == "@echo off" and written[3:5] == ["REM Total files: 2", "REM Total size: 2.00 GB"]
+    assert written[6] == "echo 1/2: (root)" and written[7].startswith('robocopy "S:\\J"') and written[8] == "echo." and written[9] == "echo 2/2: \\x"
+    assert written[-2:] == ["echo Copy complete.", "pause"] and len(written) == 14
+    again = spark.createDataFrame(list(enumerate(written)), "line_no long, line string")
+    assert copylog.header(again).first().asDict() == {"total_files": 2, "total_bytes": 2 * 1024**3}
+    assert copylog.script(make_files(), "S:\\J", "D:\\T").count() == 8
 
 
 def test_monitor(spark, tmp_path):
