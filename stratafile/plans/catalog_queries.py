@@ -629,7 +629,7 @@ _LINES = SQL["copy_script"]
 
 @query(f"""WITH c AS ({_LINES}), t AS (SELECT count(*) AS n, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS b FROM files WHERE {_MANIFEST}),
 d AS (SELECT dir, any_value(display) AS display, row_number() OVER (ORDER BY dir) AS idx, count(*) OVER () AS dirs FROM c GROUP BY dir),
-h AS (SELECT unnest([{{'part': 0, 'kind': 0, 'line': '@echo off'}}, {{'part': 0, 'kind': 1, 'line': 'REM Source: {MANIFEST}'}}, {{'part': 0, 'kind': 2, 'line': 'REM Destination: D:\Copy'}},
+h AS (SELECT unnest([{{'part': 0, 'kind': 0, 'line': '@echo off'}}, {{'part': 0, 'kind': 1, 'line': 'REM Source: {MANIFEST}'}}, {{'part': 0, 'kind': 2, 'line': 'REM Destination: D:\\Copy'}},
   {{'part': 0, 'kind': 3, 'line': format('REM Total files: {{:,}}', n)}}, {{'part': 0, 'kind': 4, 'line': concat('REM Total size: ', {_sized('b', 2)})}}, {{'part': 0, 'kind': 5, 'line': 'REM Threads: 16'}},
   {{'part': 2, 'kind': 0, 'line': 'echo Copy complete.'}}, {{'part': 2, 'kind': 1, 'line': 'pause'}}], recursive := true) FROM t)
 SELECT part, '' AS dir, kind, '' AS name, line FROM h
