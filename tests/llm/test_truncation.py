@@ -129,3 +129,38 @@ def test_words_of_all_texts_count(spark):
     rows = [(f"the folder{chr(97 + i // 26)}{chr(97 + i % 26)} ends", False) for i in range(26 * 26)]
     found = {r["last"]: (r.whole, r.longer) for r in truncation.vocabulary(spark.createDataFrame(rows, "text string, at_limit boolean")).collect()}
     assert found["the"] == (676, 0) and found["folder"] == (0, 676) and found["folderab"] == (1, 0) and "ends" not in found
+
+
+def test_all_texts_shape_the_model(spark):
+    rng = random.Random(4)
+    rows, rare = [], {i for i in range(1600) if i % 40 == 7}
+    for i in range(1600):
+        text = " ".join(sentence(rng) for _ in range(rng.randrange(1, 5)))
+        rows.append((i, text + " Sent by kxq" if i in rare else text, "a"))
+    scored = truncation.score_endings(spark.createDataFrame(rows, "doc_id long, text string, source string"), sample=80).collect()
+    # an end without a stop, in an unknown word: that it is whole is known from all texts, not from 80
+    whole = [r.logit < 0 for r in scored if r.doc_id in rare]
+    assert len(whole) == 40 and sum(whole) > 36
+
+
+def test_parts_hold_every_text_once(spark):
+    rng = random.Random(5)
+    texts = sorted({" ".join(sentence(rng) for _ in range(rng.randrange(1, 4))) for _ in range(400)})
+    df = spark.createDataFrame([(t, i % 5 == 0) for i, t in enumerate(texts)], "text string, at_limit boolean")
+    packed = truncation.example_parts(df, truncation.vocabulary(df), part=50, cuts=2)
+    kinds = np.array([r.kinds for r in packed.collect()]).reshape(-1, truncation.FOLDS, 3).sum((0, 1))
+    assert packed.count() == -(-len(texts) // 50) and packed.select("part").distinct().count() == packed.count()
+    assert kinds.tolist() == [len(texts) - -(-len(texts) // 5), -(-len(texts) // 5), 2 * len(texts)]
+    model = truncation.fit_weights(packed)
+    by_one = truncation.fit_end_model(df, truncation.vocabulary(df), cuts=2)
+    # support is that of all parts, so the same properties are known as in a single one
+    assert ((model.weights != 0) == (by_one.weights != 0)).mean() > 0.999
+    assert truncation.fit_weights(packed.limit(0)) is None
+
+
+def test_thresholds_from_counts_equal_those_from_ends():
+    rng = np.random.default_rng(2)
+    whole, cut = np.round(rng.normal(-4, 1.5, 5000), 2), np.round(rng.normal(3, 2, 5000), 2)
+    (z, n), (c, m) = (np.unique(a, return_counts=True) for a in (whole, cut))
+    assert truncation.plain_logit(z, n=n) == truncation.plain_logit(whole)
+    assert truncation.complete_share(z, c, n, m) == pytest.approx(truncation.complete_share(whole, cut))
